@@ -187,15 +187,20 @@ def curvature(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     The first three values equal the one at index 2, the last two the one at n - 3.
     """
 
-    def cols(w):
-        p = [P.lag(w, 2), P.lag(w), P, P.lead(w), P.lead(w, 2)]
-        d = [b - a for a, b in zip(p, p[1:])]
-        n = [v.length() for v in d]
-        before, after = (d[0] + d[1]) / (n[0] + n[1]), (d[2] + d[3]) / (n[2] + n[3])
-        return {"_k": ((after - before) / (n[1] + n[2])).length()}
+    d, n, m = Vec3.of("_dx", "_dy", "_dz"), "_n", Vec3.of("_mx", "_my", "_mz")
+
+    def delta(w):
+        return (P - P.lag(w)).columns("_dx", "_dy", "_dz")
+
+    def length(w):
+        return {n: d.length()}
+
+    def slope(w):
+        both = F.col(n) + F.lead(n).over(w)
+        return {**((d + d.lead(w)) / both).columns("_mx", "_my", "_mz"), "_both": both}
 
-    def cleaned(c):
-        return F.when(~F.isnan(c), c)
+    def bend(w):
+        return {"_k": ((m.lead(w) - m.lag(w)) / F.col("_both")).length()}
 
     def fill(w):
         k, i = F.col("_k"), F.col("pt_idx")
@@ -205,9 +210,8 @@ def curvature(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
         tail = F.when(at_end, F.lag("_k", 2).over(w)).when(near_end, F.lag("_k", 1).over(w))
         return {"kappa": F.when(i < 2, head).otherwise(F.coalesce(tail, k))}
 
-    return halo_windows(halo_windows(points, cols, 2, 2, chunk), fill, 2, 2, chunk).withColumn(
-        "kappa", cleaned(F.col("kappa"))
-    ).drop("_k")
+    out = halo_windows(points, [delta, length, slope, bend, fill], 4, 4, chunk)
+    return out.drop("_dx", "_dy", "_dz", "_n", "_mx", "_my", "_mz", "_both", "_k")
 
 
 def cross_curvature(points: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -20,18 +20,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Added before rounding on both sides, so that exact decimal halves do not sit on the border.
+NUDGE = 3.7e-8
+
+
 def r6(c: Column | str, name: str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+    return (F.round(c + F.lit(NUDGE), 6) + F.lit(0.0)).alias(name)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
+    return df.withColumns({n: r6(n, n) for n in names})
 
 
 def s6(expr: str, name: str | None = None) -> str:
     """SQL twin of ``r6``."""
-    return f"ROUND({expr}, 6) + 0e0 AS {name or expr}"
+    return f"ROUND({expr} + {NUDGE!r}::DOUBLE, 6) + 0e0 AS {name or expr}"
 
 
 POINTS = """points AS (

@@ -106,7 +106,7 @@ def rank_within(
 
 def halo_windows(
     df: DataFrame,
-    columns: dict[str, Callable[[WindowSpec], Column]] | Callable[[WindowSpec], dict[str, Column]],
+    columns,
     before: int,
     after: int,
     chunk: int = CHUNK,
@@ -116,7 +116,9 @@ def halo_windows(
     """Add window columns whose frames reach ``before`` rows back and ``after`` rows ahead.
 
     Rows near a chunk border are copied into the next chunk, the window runs per (line, chunk),
-    and the copies are dropped. ``idx`` has to be dense from 0 in each line.
+    and the copies are dropped. ``idx`` has to be dense from 0 in each line. ``columns`` is a
+    dict of functions of the window, one function that returns such a dict of columns, or a list
+    of these, evaluated one after the other; the reach then covers all of them together.
     """
     lines = [line] if isinstance(line, str) else list(line)
     chunk = max(chunk, before + after + 1)
@@ -131,8 +133,10 @@ def halo_windows(
     )
     spread = df.withColumn("_chunk", F.explode(spots)).where(F.col("_chunk") >= 0)
     w = Window.partitionBy(*lines, "_chunk").orderBy(idx)
-    cols = columns(w) if callable(columns) else {n: f(w) for n, f in columns.items()}
-    return spread.withColumns(cols).where(F.col("_chunk") == own).drop("_chunk")
+    for stage in columns if isinstance(columns, list) else [columns]:
+        cols = stage(w) if callable(stage) else {n: f(w) for n, f in stage.items()}
+        spread = spread.withColumns(cols)
+    return spread.where(F.col("_chunk") == own).drop("_chunk")
 
 
 def line_running_sums(
@@ -286,3 +290,20 @@ def chunked_fold(
         if redo.isEmpty():
             return done.drop("entry")
         done = reliable(done.join(redo, [line, "_chunk"], "left_anti").unionByName(redo))
+
+
+# ------------------------------------------------------------------ long integer ranges
+
+
+def explode_range(
+    df: DataFrame, low: Column, high: Column, name: str, block: int = 1 << 12
+) -> DataFrame:
+    """One row per integer in [low, high]; no array is longer than ``block``."""
+    size = F.lit(block)
+    lo, hi = low.cast("bigint"), high.cast("bigint")
+    blocks = df.where(lo <= hi).withColumn(
+        "_block", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
+    )
+    first = F.greatest(lo, F.col("_block") * size)
+    last = F.least(hi, F.col("_block") * size + size - 1)
+    return blocks.withColumn(name, F.explode(F.sequence(first, last))).drop("_block")
