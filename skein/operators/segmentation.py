@@ -51,45 +51,41 @@ def segment(points: DataFrame, policy: Policy | str, **args) -> DataFrame:
     return table[Policy(policy)](points, **args)
 
 
-def _spans(folded: DataFrame, tail: Callable[[Column], Column]) -> DataFrame:
-    """Emitted spans, and the last open one of each line as ``tail`` makes it from the end state."""
-    emitted = folded.select("line_id", F.explode("out").alias("s"))
-    rest = (
-        folded.groupBy("line_id")
-        .agg(F.max_by("exit", "_chunk").alias("e"))
-        .select("line_id", F.explode(tail(F.col("e")).cast(f"array<{SPAN}>")).alias("s"))
+def _spans(folded: DataFrame) -> DataFrame:
+    return folded.select("line_id", F.explode("out").alias("s")).select(
+        "line_id", "s.beg", "s.end_"
     )
-    return emitted.unionByName(rest).select("line_id", "s.beg", "s.end_")
 
 
-def _open_tail(e: Column) -> Column:
-    return F.array(F.struct(e["begin"].alias("beg"), (e["last"] + 1).alias("end_")))
+def _is_last(w) -> Column:
+    return F.lead("pt_idx").over(w).isNull()
 
 
 def _cut_by_sums(stepped: DataFrame, tac_limit: float, length_limit: float, chunk: int):
-    """Cut where the sum of ``tac`` or of ``len`` would pass its limit; both sums restart at 0."""
+    """Cut where the sum of ``tac`` or of ``len`` would pass its limit; both sums restart at 0.
+
+    The last vertex of a line emits the open segment.
+    """
 
     def step(s, e):
-        tac, length = F.coalesce(e["tac"], F.lit(0.0)), e["len"]
-        trips = (s["tac"] + tac > tac_limit) | (s["len"] + length > length_limit)
-        cut = length.isNotNull() & trips
-        add = length.isNotNull()
+        add, tac = e["len"].isNotNull(), F.coalesce(e["tac"], F.lit(0.0))
+        trips = (s["tac"] + tac > tac_limit) | (s["len"] + e["len"] > length_limit)
+        cut = add & trips & ~e["whole"]
         zero = F.lit(0.0)
         new = {
             "begin": F.when(cut, e["pt_idx"]).otherwise(s["begin"]),
-            "last": e["pt_idx"],
             "tac": F.when(cut, zero).when(add, s["tac"] + tac).otherwise(s["tac"]),
-            "len": F.when(cut, zero).when(add, s["len"] + length).otherwise(s["len"]),
+            "len": F.when(cut, zero).when(add, s["len"] + e["len"]).otherwise(s["len"]),
         }
-        return new, cut, F.struct(s["begin"], e["pt_idx"] + 1)
+        return new, cut | e["last"], F.struct(s["begin"], e["pt_idx"] + 1)
 
     carry = {
         "begin": ("int", F.lit(0)),
-        "last": ("int", F.lit(-1)),
         "tac": ("double", F.lit(0.0)),
         "len": ("double", F.lit(0.0)),
     }
-    return chunked_fold(stepped, [F.col("tac"), F.col("len")], carry, SPAN, step, chunk)
+    elem = [F.col(c) for c in ("tac", "len", "whole", "last")]
+    return _spans(chunked_fold(stepped, elem, carry, SPAN, step, chunk))
 
 
 def cut_by_curvature(
@@ -102,18 +98,22 @@ def cut_by_curvature(
 
     Neighbouring segments share the vertex at which the cut was made.
     """
-    stepped = halo_windows(
-        curvature(points), {"len": lambda w: P.lead(w).dist(P.lag(w)) / F.lit(2.0)}, 1, 1
-    ).select("line_id", "pt_idx", (F.col("kappa") * F.col("len")).alias("tac"), "len")
-    folded = _cut_by_sums(stepped, tac_limit, length_limit, chunk)
-    spans = _spans(folded, _open_tail)
-    short = (
-        folded.groupBy("line_id")
-        .agg((F.max(F.col("exit.last")) + 1).alias("n"))
-        .where(F.col("n") < 5)
+    i = F.col("pt_idx")
+
+    def cols(w):
+        fifth = F
+        for k in range(4):
+            fifth = fifth.when(i == k, F.lead(i, 4 - k).over(w))
+        return {
+            "len": P.lead(w).dist(P.lag(w)) / F.lit(2.0),
+            "last": _is_last(w),
+            "whole": (i < 4) & fifth.otherwise(i).isNull(),
+        }
+
+    stepped = halo_windows(curvature(points), cols, 1, 4).select(
+        "line_id", "pt_idx", (F.col("kappa") * F.col("len")).alias("tac"), "len", "whole", "last"
     )
-    whole = short.select("line_id", F.lit(0).alias("beg"), F.col("n").alias("end_"))
-    return spans.join(short, "line_id", "left_anti").unionByName(whole)
+    return _cut_by_sums(stepped, tac_limit, length_limit, chunk)
 
 
 def cut_by_cross_curvature(
@@ -121,9 +121,15 @@ def cut_by_cross_curvature(
 ) -> DataFrame:
     """As ``cut_by_curvature`` with the cross-product curvature and the unhalved length."""
     stepped = halo_windows(
-        cross_curvature(points), {"len": lambda w: P.lead(w).dist(P.lag(w))}, 1, 1
-    ).select("line_id", "pt_idx", (F.abs("kappa") * F.col("len")).alias("tac"), "len")
-    return _spans(_cut_by_sums(stepped, tac_limit, length_limit, chunk), _open_tail)
+        cross_curvature(points),
+        {"len": lambda w: P.lead(w).dist(P.lag(w)), "last": _is_last},
+        1,
+        1,
+    ).select(
+        "line_id", "pt_idx", (F.abs("kappa") * F.col("len")).alias("tac"), "len",
+        F.lit(False).alias("whole"), "last",
+    )
+    return _cut_by_sums(stepped, tac_limit, length_limit, chunk)
 
 
 def cut_by_ratio(
@@ -135,31 +141,30 @@ def cut_by_ratio(
         points,
         lambda w: {
             **P.lead(w).columns("nx", "ny", "nz"),
-            "inner": F.lag("pt_idx").over(w).isNotNull() & F.lead("pt_idx").over(w).isNotNull(),
+            "inner": F.lag("pt_idx").over(w).isNotNull() & ~_is_last(w),
+            "last": _is_last(w),
         },
         1,
         1,
     ).withColumn("len", P.dist(q))
 
     def step(s, e):
-        first = s["last"] == -1
-        start = Vec3(*[F.when(first, e[c]).otherwise(s[c]) for c in "xyz"])
+        start = Vec3(*[F.coalesce(s[c], e[c]) for c in "xyz"])
         arc = s["len"] + e["len"]
         nxt = Vec3(e["nx"], e["ny"], e["nz"])
         cut = e["inner"] & ((arc > F.lit(ratio_limit) * nxt.dist(start)) | (arc > length_limit))
         new = {
             "begin": F.when(cut, e["pt_idx"]).otherwise(s["begin"]),
-            "last": e["pt_idx"],
             "len": F.when(cut, F.lit(0.0)).when(e["inner"], arc).otherwise(s["len"]),
         }
         for c, kept in zip("xyz", start.parts):
             new[c] = F.when(cut, e[c]).otherwise(kept)
-        return new, cut, F.struct(s["begin"], e["pt_idx"] + 1)
+        return new, cut | e["last"], F.struct(s["begin"], e["pt_idx"] + 1)
 
-    carry = {"begin": ("int", F.lit(0)), "last": ("int", F.lit(-1)), "len": ("double", F.lit(0.0))}
+    carry = {"begin": ("int", F.lit(0)), "len": ("double", F.lit(0.0))}
     carry.update({c: ("double", F.lit(None)) for c in "xyz"})
-    elem = [F.col(c) for c in ("x", "y", "z", "nx", "ny", "nz", "len", "inner")]
-    return _spans(chunked_fold(stepped, elem, carry, SPAN, step, chunk), _open_tail)
+    elem = [F.col(c) for c in ("x", "y", "z", "nx", "ny", "nz", "len", "inner", "last")]
+    return _spans(chunked_fold(stepped, elem, carry, SPAN, step, chunk))
 
 
 def cut_by_tortuosity(
@@ -170,13 +175,11 @@ def cut_by_tortuosity(
     A single vertex left behind by a cut joins the closed segment; leftovers of fewer than three
     vertices belong to no segment.
     """
-    flagged = halo_windows(
-        points, {"tail": lambda w: F.lead("pt_idx").over(w).isNull()}, 0, 1
-    )
+    flagged = halo_windows(points, {"tail": _is_last}, 0, 1)
 
     def step(s, e):
         here, start = Vec3.field(e), Vec3(s["sx"], s["sy"], s["sz"])
-        fresh = s["last"] == -1
+        fresh = s["px"].isNull()
         full = s["ratio"] >= limit
         swallow = full & e["tail"]
         cut = full & ~e["tail"]
@@ -185,7 +188,6 @@ def cut_by_tortuosity(
         ratio = F.coalesce(arc / F.nullif(here.dist(start), F.lit(0.0)), F.lit(0.0))
         new = {
             "begin": F.when(restart, e["pt_idx"]).otherwise(s["begin"]),
-            "last": e["pt_idx"],
             "arc": arc,
             "ratio": F.when(restart | (e["pt_idx"] - s["begin"] < 2), F.lit(0.0))
             .when(swallow, F.lit(0.0))
@@ -194,18 +196,16 @@ def cut_by_tortuosity(
         for c in "xyz":
             new[f"s{c}"] = F.when(restart, e[c]).otherwise(s[f"s{c}"])
             new[f"p{c}"] = e[c]
-        return new, cut, F.struct(s["begin"], e["pt_idx"])
+        rest = e["tail"] & (e["pt_idx"] - s["begin"] >= 2)
+        end = F.when(cut, e["pt_idx"]).otherwise(e["pt_idx"] + 1)
+        return new, cut | rest, F.struct(s["begin"], end)
 
-    carry = {"begin": ("int", F.lit(0)), "last": ("int", F.lit(-1))}
+    carry = {"begin": ("int", F.lit(0))}
     carry.update({"arc": ("double", F.lit(0.0)), "ratio": ("double", F.lit(0.0))})
     carry.update({f"{k}{c}": ("double", F.lit(None)) for k in "sp" for c in "xyz"})
     elem = [F.col(c) for c in ("x", "y", "z", "tail")]
 
-    def tail(e):
-        span = F.array(F.struct(e["begin"].alias("beg"), (e["last"] + 1).alias("end_")))
-        return F.when(e["last"] - e["begin"] >= 2, span).otherwise(F.filter(span, lambda s: F.lit(False)))
-
-    return _spans(chunked_fold(flagged, elem, carry, SPAN, step, chunk), tail)
+    return _spans(chunked_fold(flagged, elem, carry, SPAN, step, chunk))
 
 
 def cut_evenly(points: DataFrame, mean_length: float) -> DataFrame:

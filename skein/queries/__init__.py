@@ -1,4 +1,8 @@
 """Registered queries and the SQL that states what each has to return."""
 
-from skein.queries import geometry_queries, segment_queries  # noqa: F401
+from skein.queries import (  # noqa: F401
+    geometry_queries,
+    search_queries,
+    segment_queries,
+)
 from skein.queries.base import ORACLES, QUERIES  # noqa: F401
