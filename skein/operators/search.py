@@ -35,9 +35,8 @@ def _cells(v: Vec3, size: float) -> dict[str, Column]:
 
 def _around(df: DataFrame, v: Vec3, size: float) -> DataFrame:
     """One row per cell of the 3 x 3 x 3 block around ``v``."""
-    steps = F.array(*[F.lit(d).cast("bigint") for d in (-1, 0, 1)])
-    for name, value in _cells(v, size).items():
-        df = df.withColumn(name, F.explode(F.transform(steps, lambda d, value=value: value + d)))
+    for name, c in _cells(v, size).items():
+        df = df.withColumn(name, F.explode(F.array(c - 1, c, c + 1)))
     return df
 
 

@@ -2,6 +2,7 @@
 
 from skein.queries import (  # noqa: F401
     geometry_queries,
+    lsh_queries,
     search_queries,
     segment_queries,
 )
