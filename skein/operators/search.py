@@ -17,6 +17,7 @@ from skein.skew import HOT_ROWS, hottest, salted_join
 
 P, N = Vec3.of(), Vec3.of("nx", "ny", "nz")
 QUERY_KEY = ("line_id", "pt_idx")
+EDGES_KEY = ("line_id", "pt_idx", "nbr_line", "nbr_pt")
 CELL = ["_cx", "_cy", "_cz"]
 MAX_LEVELS = 12
 CROWDED = 64             # vertices of one line in one cell above which cells are refined
