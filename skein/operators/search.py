@@ -187,10 +187,11 @@ def nearest_lines(
     start_radius: float,
     key: Sequence[str] = QUERY_KEY,
     own: str | None = "line_id",
+    growth: float = 2.0,
 ) -> DataFrame:
     """The ``k`` nearest lines of each query, by nearest vertex; exact.
 
-    The search radius doubles for the queries that have found fewer than ``k`` lines; within a
+    The search radius grows by ``growth`` for the queries that have found fewer than ``k`` lines; within a
     radius all lines are known, so a query with ``k`` of them is finished. The radius ends at the
     diagonal of all data.
     """
@@ -213,7 +214,7 @@ def nearest_lines(
         open_queries = reliable(open_queries.join(full, key, "left_anti"))
         if open_queries.isEmpty():
             break
-        radius = min(radius * 2.0, limit * (1 + 1e-9))
+        radius = min(radius * growth, limit * (1 + 1e-9))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -299,7 +299,7 @@ def spread_opacity(
         F.struct("line_id", "pt_idx", "opacity").alias("nbr_id"),
         *Vec3.of().named("nx", "ny", "nz"),
     )
-    near = nearest_lines(points, targets, 1, start_radius, own=None).select(
+    near = nearest_lines(points, targets, 1, start_radius, own=None, growth=4.0).select(
         "line_id", "pt_idx", F.col("nbr_id.opacity").alias("_top"), "dist"
     )
     e = F.exp(-F.col("dist") / F.lit(2.0 * sigma * sigma))

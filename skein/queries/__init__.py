@@ -2,8 +2,10 @@
 
 from skein.queries import (  # noqa: F401
     bundling_queries,
+    field_queries,
     geometry_queries,
     lsh_queries,
+    opacity_queries,
     ranking_queries,
     search_queries,
     segment_queries,

@@ -61,3 +61,19 @@ def supplier_critical_points(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("s_nationkey") % 8).cast("int").alias("type"),
         (F.lit(1.0) + s % 3).cast("double").alias("scale"),
     )
+
+
+# Extent of the grid over the event lines.
+EVENT_GRID = (31, 50, 5)
+
+
+def event_grid(points: DataFrame) -> DataFrame:
+    """Mean tangent of the event lines per unit cell; cells without an event are holes.
+
+    ``points`` carries tx, ty, tz; the layers are the levels of the event types from 0.
+    """
+    return points.groupBy(
+        F.floor("x").cast("int").alias("col"),
+        F.floor("y").cast("int").alias("row"),
+        F.floor(F.col("z") - 1).cast("int").alias("layer"),
+    ).agg(F.avg("tx").alias("u"), F.avg("ty").alias("v"), F.avg("tz").alias("w"))
