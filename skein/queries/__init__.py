@@ -10,5 +10,6 @@ from skein.queries import (  # noqa: F401
     search_queries,
     segment_queries,
     similarity_queries,
+    source_queries,
 )
 from skein.queries.base import ORACLES, QUERIES  # noqa: F401
