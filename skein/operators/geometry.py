@@ -15,6 +15,7 @@ from skein.skew import (
     halo_windows,
     line_running_sums,
     running_sums,
+    spread_join,
 )
 
 P = Vec3.of()
@@ -336,7 +337,8 @@ def resample_around(
         "_cell",
         F.explode(F.sequence(F.floor(F.col("arc") / width), F.floor(F.col("_a1") / width))),
     )
-    hit = wanted.join(
+    hit = spread_join(
+        wanted,
         spans.select("line_id", "_cell", F.col("arc").alias("_a"), "_a1", "x", "y", "z",
                      "x1", "y1", "z1", F.col("pt_idx").alias("seg_idx")),
         ["line_id", "_cell"],

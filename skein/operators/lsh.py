@@ -12,7 +12,7 @@ from skein.functions.vec import Vec3
 from skein.operators.search import QUERY_KEY, nearest_per_line
 from skein.operators.segmentation import SEG_KEY, segment_points
 from skein.session import reliable
-from skein.skew import salted_join
+from skein.skew import salted_join, spread_join
 
 # Fixed values of the hash family.
 WIDTH = 4.0
@@ -24,6 +24,7 @@ TANGENT_GATE = 0.98       # smallest |cosine| of an accepted pair of tangents
 CENTROID_GATE = 1.5       # largest squared distance of an accepted centroid
 SEEDING_GATE = 1.0
 BUCKET = ["table_id", "fp1", "fp2"]
+BLOCK = 64               # vertices of a segment that are held in one array
 
 P = Vec3.of()
 C = Vec3.of("cx", "cy", "cz")
@@ -192,31 +193,44 @@ def candidate_counts(index: LshIndex, points: DataFrame, buckets: DataFrame) ->
 
 
 def nearest_by_projection(
-    pairs: DataFrame, points: DataFrame, key: Sequence[str] = QUERY_KEY
+    pairs: DataFrame,
+    points: DataFrame,
+    segments: DataFrame | None = None,
+    key: Sequence[str] = QUERY_KEY,
 ) -> DataFrame:
     """For (query, segment) pairs: the segment vertex whose projection on the chord is nearest.
 
     ``pairs`` has the query key and x, y, z, and the segment as nbr_line, beg, end_, dx, dy, dz.
+    A pair meets the vertices of its segment in blocks of BLOCK, so one row per pair is enough for
+    all but the longest segments, whose blocks are then compared.
     """
     seg = ["nbr_line", "beg", "end_"]
-    vertices = segment_points(
-        points, pairs.select(F.col("nbr_line").alias("line_id"), "beg", "end_").distinct()
-    ).select(
-        F.col("line_id").alias("nbr_line"), "beg", "end_",
-        F.col("pt_idx").alias("nbr_pt"), *P.named("nx", "ny", "nz"),
+    along = Vec3.of("dx", "dy", "dz")
+    if segments is None:
+        segments = pairs.withColumnRenamed("nbr_line", "line_id").select(
+            *SEG_KEY, "dx", "dy", "dz"
+        ).distinct()
+    block = F.floor((F.col("pt_idx") - F.col("beg")) / F.lit(BLOCK))
+    vertex = F.struct("pt_idx", P.dot(along).alias("along"), P.struct().alias("at"))
+    blocks = (
+        segment_points(points, segments)
+        .join(segments.select(*SEG_KEY, "dx", "dy", "dz"), SEG_KEY)
+        .groupBy(F.col("line_id").alias("nbr_line"), "beg", "end_", block.alias("_block"))
+        .agg(F.collect_list(vertex).alias("_v"))
     )
-    n = Vec3.of("nx", "ny", "nz")
-    off = F.abs((n - P).dot(Vec3.of("dx", "dy", "dz")))
-    return (
-        pairs.join(vertices, seg)
-        .groupBy(*key, *seg)
-        .agg(
-            F.min_by(
-                F.struct(F.col("nbr_pt"), P.sq_dist(n).alias("d2")), F.struct(off, "nbr_pt")
-            ).alias("m")
-        )
-        .select(*key, *seg, "m.nbr_pt", "m.d2")
+
+    def offer(v: Column) -> Column:
+        off = F.abs(v["along"] - F.col("_q"))
+        return F.struct(off.alias("off"), v["pt_idx"].alias("nbr_pt"), v["at"].alias("at"))
+
+    # Exploding the one result keeps later filters from evaluating the lambda once more each.
+    best = spread_join(pairs.withColumn("_q", P.dot(along)), blocks, seg).select(
+        *key, *seg, "x", "y", "z", F.explode(F.array(F.array_min(F.transform("_v", offer)))).alias("_m")
     )
+    if (segments.agg(F.max(F.col("end_") - F.col("beg"))).first()[0] or 0) > BLOCK:
+        best = best.groupBy(*key, *seg, "x", "y", "z").agg(F.min("_m").alias("_m"))
+    d2 = P.sq_dist(Vec3.field(F.col("_m.at")))
+    return best.select(*key, *seg, F.col("_m.nbr_pt").alias("nbr_pt"), d2.alias("d2"))
 
 
 def _best_per_line(found: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -269,7 +283,7 @@ def ann_edges(
         .select(*QUERY_KEY, "x", "y", "z", "nbr_line", "beg", "end_", "dx", "dy", "dz")
         .distinct()
     )
-    found = nearest_by_projection(pairs, points.select(*QUERY_KEY, "x", "y", "z"))
+    found = nearest_by_projection(pairs, points.select(*QUERY_KEY, "x", "y", "z"), segments)
     found = found.where(F.col("d2") <= max_sq)
     t = points.select(*QUERY_KEY, "tx", "ty", "tz")
     other = t.select(
@@ -317,7 +331,7 @@ def vertex_edges(
         F.col("line_id").alias("nbr_line"), "beg", "end_", "dx", "dy", "dz"
     )
     pairs = near.join(place, list(QUERY_KEY)).join(dirs, ["nbr_line", "beg", "end_"])
-    found = nearest_by_projection(pairs, place)
+    found = nearest_by_projection(pairs, place, segments)
     return found.select(
         *QUERY_KEY, "nbr_line", "nbr_pt", F.sqrt("d2").alias("dist")
     )

@@ -251,7 +251,11 @@ def mark_lines(points: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def mutual_edges(edges: DataFrame, slack: int = 1) -> DataFrame:
-    """Edges whose target lists the source line with a vertex within ``slack`` of the source."""
+    """Edges whose target lists the source line with a vertex within ``slack`` of the source.
+
+    Both sides of the semi join are the same edges; they are fixed once instead of found twice.
+    """
+    edges = reliable(edges)
     back = edges.select(
         F.col("line_id").alias("nbr_line"),
         F.col("pt_idx").alias("nbr_pt"),

@@ -8,7 +8,7 @@ from skein.functions.scalars import finite_or, gaussian_pdf
 from skein.functions.vec import Vec3, clamp
 from skein.operators.geometry import resample_around
 from skein.operators.search import EDGES_KEY, nearest_lines
-from skein.skew import rank_within
+from skein.skew import rank_within, spread_join
 
 P, Q = Vec3.of("px", "py", "pz"), Vec3.of("qx", "qy", "qz")
 
@@ -35,7 +35,8 @@ def _windowed(edges: DataFrame, points: DataFrame, low: int, high: int) -> DataF
         F.col("line_id").alias("nbr_line"), F.col("pt_idx").alias("_j"),
         *Vec3.of().named("qx", "qy", "qz"),
     )
-    return spread.join(a, ["line_id", "_i"]).join(b, ["nbr_line", "_j"]).drop("_i", "_j")
+    half = spread_join(spread, a, ["line_id", "_i"])
+    return spread_join(half, b, ["nbr_line", "_j"]).drop("_i", "_j")
 
 
 def _profile(edges: DataFrame, points: DataFrame, low: int, high: int, value: Column) -> DataFrame:

@@ -50,14 +50,15 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums of expressions over ``order`` inside each group of ``keys``.
 
-    ``order`` has to be total. Groups that fit a task use one window. Otherwise the rows are
+    ``order`` has to be total. Without keys all rows are one group. Groups of up to ``hot_rows`` rows
+    use one window. Otherwise the rows are
     range-partitioned on the full order, fixed in the checkpoint folder, summed per partition and
     shifted by the sums of the earlier partitions of the same group. Only groups that cross a
     partition border need a shift, so the shifts are fewer than the partitions and are broadcast.
     """
     keys, order = list(keys), _asc(order)
-    if keys and hottest(df, keys) <= hot_rows:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if hottest(df, keys) <= hot_rows:
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
 
     spark = df.sparkSession
@@ -187,6 +188,19 @@ def attach_line(
     return keyed.join(per_chunk, [line, "_chunk"], how).drop("_chunk")
 
 
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join over all shuffle partitions, for joins that yield far more than they read.
+
+    Adaptive execution merges small inputs into few partitions, and the yield would then come from
+    few tasks; it leaves a partition count that is asked for alone.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(k) for k in keys]
+    return left.repartition(parts, *cols).join(right.repartition(parts, *cols), list(keys), how)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -204,7 +218,7 @@ def salted_join(
     """
     keys = list(keys)
     if (hottest(left, keys) if largest is None else largest) <= hot_rows:
-        return left.join(right, keys, how)
+        return spread_join(left, right, keys, how)
     counts = left.groupBy(*keys).count()
     total = counts.agg(F.sum("count")).first()[0]
     limit = max(hot_rows, total // HOT_KEYS)
@@ -219,7 +233,7 @@ def salted_join(
         .withColumn("_share", F.explode(F.sequence(F.lit(0), fan - 1)))
         .drop("_fan")
     )
-    return dealt.join(copies, [*keys, "_share"], how).drop("_share")
+    return spread_join(dealt, copies, [*keys, "_share"], how).drop("_share")
 
 
 # ------------------------------------------------------------------ order-dependent folds

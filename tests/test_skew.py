@@ -53,7 +53,7 @@ def test_ranks_of_a_hot_group(walk):
 
 
 def test_running_sums_over_everything(walk):
-    got = running_sums(walk, [], ["line_id", "pt_idx"], {"n": F.lit(1).cast("bigint")}, parts=6)
+    got = running_sums(walk, [], ["line_id", "pt_idx"], {"n": F.lit(1).cast("bigint")}, hot_rows=50, parts=6)
     assert [r[2] for r in rows(got, "line_id", "pt_idx", "n")] == list(range(1, 443))
 
 
