@@ -15,6 +15,7 @@ from skein.skew import (
     halo_windows,
     line_running_sums,
     running_sums,
+    salted_join,
     spread_join,
 )
 
@@ -382,7 +383,7 @@ def index_range_near(points: DataFrame, centers: DataFrame, radius: float) -> Da
     d1 = b - P
     t = F.coalesce(clamp((q - P).dot(d1) / F.nullif(d1.sq(), F.lit(ZERO)), 0.0, 1.0), F.lit(ZERO))
     foot = (
-        pieces.join(centers, "line_id")
+        salted_join(pieces, centers, ["line_id"], spread=["pt_idx"])
         .withColumn("_t", t)
         .withColumn("_d", (q - P - d1 * F.col("_t")).length())
         .groupBy("line_id", "qx", "qy", "qz")
@@ -410,7 +411,7 @@ def index_range_near(points: DataFrame, centers: DataFrame, radius: float) -> Da
         )
     )
     return (
-        arcs.join(foot, "line_id")
+        salted_join(arcs, foot, ["line_id"], spread=["pt_idx"])
         .groupBy("line_id", "qx", "qy", "qz")
         .agg(
             F.coalesce(low, F.lit(0)).alias("low"),

@@ -243,7 +243,8 @@ def lines_within(points: DataFrame, centers: DataFrame, radius: float) -> DataFr
 
 def mark_lines(points: DataFrame, lines: DataFrame) -> DataFrame:
     """Add alpha 1 to the points of the given lines, 0 to the others."""
-    flagged = points.join(lines.withColumn("_hit", F.lit(1.0)), "line_id", "left")
+    hits = lines.withColumn("_hit", F.lit(1.0))
+    flagged = salted_join(points, hits, ["line_id"], "left", spread=["pt_idx"])
     return flagged.withColumn("alpha", F.coalesce("_hit", F.lit(0.0))).drop("_hit")
 
 

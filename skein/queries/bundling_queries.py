@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from skein.operators import bundling as B
 from skein.operators import geometry as G
@@ -77,7 +78,30 @@ def contraction_step(spark, folder):
     return rounded(B.contract_once(points, _mutual(points), first=True), "x", "y", "z")
 
 
-@query("contraction")
+def _named(cte: str, k: int) -> str:
+    """The CTE for iteration ``k``: its own names, its input the positions before it."""
+    for name in ("raw_tangents", "tangents", "pulls", "across", "moved", "around", "shifted"):
+        cte = re.sub(rf"\b{name}\b", f"{name}_{k}", cte)
+    return re.sub(r"\bpoints\b", f"points_{k}", cte)
+
+
+def _iterations(n: int) -> list[str]:
+    out = [POINTS, EDGES, MUTUAL, "points_0 AS (SELECT * FROM points)"]
+    for k in range(n):
+        out += [_named(c, k) for c in (TANGENTS, PULLS, SHIFTED)]
+        blend = ", ".join(
+            f"CASE WHEN b.line_id IS NULL THEN s.{c} ELSE (s.{c} + b.{c}*{_G}::DOUBLE)/(1e0+{_G}::DOUBLE) END AS {c}"
+            if k == 0 else f"s.{c}" for c in "xyz"
+        )
+        out.append(
+            f"points_{k + 1} AS (SELECT s.line_id, s.pt_idx, {blend} FROM shifted_{k} s"
+            f" LEFT JOIN points_{k} b ON b.line_id = s.line_id AND b.pt_idx = s.pt_idx - 1)"
+        )
+    return out
+
+
+@query("contraction", with_ctes(*_iterations(3), select=f"""
+SELECT line_id, pt_idx, {s6('x')}, {s6('y')}, {s6('z')} FROM points_3"""))
 def contraction(spark, folder):
     points = event_points(spark, folder)
-    return rounded(B.contract(points, _mutual(points), iterations=8), "x", "y", "z")
+    return rounded(B.contract(points, _mutual(points), iterations=3), "x", "y", "z")

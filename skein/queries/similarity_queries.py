@@ -14,6 +14,7 @@ from skein.queries.base import ARCS, CURVATURE, POINTS, query, r6, rounded, s6,
 from skein.queries.geometry_queries import KEY
 from skein.queries.lsh_queries import BASE, FILED, _index, _table
 from skein.queries.search_queries import CRITICAL, EDGES, RADIUS, edges
+from skein.plans.analysis import Application, Settings, analyze
 from skein.sources.tables import event_points, supplier_critical_points
 
 EDGE = ["line_id", "pt_idx", "nbr_line", "nbr_pt"]
@@ -272,3 +273,10 @@ def two_term_similarity(spark, folder):
         N.neighbour_edges(points, RADIUS), points, 40.0, 4, 0.2, separation=4.0
     )
     return rounded(found, "score")
+
+
+@query("analysis_alpha")
+def analysis_alpha(spark, folder):
+    """The whole analysis on normalised lines: cuts, hashing, neighbours, opacity, colours."""
+    settings = Settings(application=Application.ALPHA, radius=0.02, pool=8)
+    return rounded(analyze(event_points(spark, folder), settings), "x", "y", "z", "alpha")

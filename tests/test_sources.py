@@ -151,6 +151,25 @@ def test_order_sinks(spark, points, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == list("98765")
 
 
+def test_survivor_and_affinity_sinks(spark, points, tmp_path):
+    from skein.operators import ranking
+
+    order = spark.createDataFrame([(0, 2), (1, 0), (2, 3), (3, 1)], "rank bigint, line_id bigint")
+    dump = ranking.survivors(order, points, 2)
+    assert {(r.kept, r.line_id) for r in dump.collect()} == {(2, 3), (2, 1)}
+    text.write_survivors(dump, str(tmp_path / "s"))
+    kept = spark.read.option("sep", ";").csv(str(tmp_path / "s/kept=2"))
+    assert {r[0] for r in kept.collect()} == {"4", "2"} and kept.count() == 31
+    assert ranking.survivors(order, points, 5).count() == 0
+
+    segments = spark.createDataFrame([(0, 0), (0, 4), (2, 0)], "line_id bigint, beg int")
+    pairs = spark.createDataFrame(
+        [(0, 4, 2, 0, 0.5)], "line_id bigint, beg int, nbr_line bigint, nbr_beg int, similarity double"
+    )
+    text.write_affinity(pairs, segments, str(tmp_path / "a"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "a")).collect()] == ["3", "1 2 0.5"]
+
+
 def test_convert_folder(spark, tmp_path):
     (tmp_path / "a.obj").write_text("v 0 0 0\nv 10 5 0\ng line1\n")
     (made,) = binary.convert_folder(spark, str(tmp_path), str(tmp_path), 0.5)
