@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skein.functions.scalars import smoothstep
 from skein.functions.vec import clamp
 from skein.operators.geometry import arc_positions, line_lengths
+from skein.session import reliable
 from skein.skew import (
     CHUNK,
     attach_line,
@@ -35,9 +36,10 @@ def control_points(points: DataFrame, total: int) -> DataFrame:
     """(line_id, n, arc_length, n_cp, cp_offset): ``total`` control points dealt to the lines.
 
     Lines up to the mean length per control point get two. The others share the rest by length,
-    rounded down, and the largest remainders (then the larger ids) get one more each.
+    rounded down, and the largest remainders (then the larger ids) get one more each. The tables of
+    one row per line are fixed, as several sums and all later passes read them.
     """
-    lines = line_lengths(points).select("line_id", "n", "arc_length")
+    lines = reliable(line_lengths(points).select("line_id", "n", "arc_length"))
     all_length = lines.agg(F.sum("arc_length")).scalar()
     each = lines.withColumn("_short", F.col("arc_length") <= all_length / F.lit(float(total)))
     rest = each.agg(
@@ -62,7 +64,7 @@ def control_points(points: DataFrame, total: int) -> DataFrame:
         "line_id", "n", "arc_length", F.lit(2).cast("bigint").alias("n_cp")
     )
     summed = running_sums(dealt.unionByName(short), [], ["line_id"], {"_end": F.col("n_cp")})
-    return summed.withColumn("cp_offset", F.col("_end") - F.col("n_cp")).drop("_end")
+    return reliable(summed.withColumn("cp_offset", F.col("_end") - F.col("n_cp")).drop("_end"))
 
 
 def control_point_lines(lines: DataFrame) -> DataFrame:
