@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skein.functions.vec import Vec3
 from skein.operators.geometry import bounding_box
 from skein.session import reliable
-from skein.skew import HOT_ROWS, hottest, salted_join
+from skein.skew import HOT_ROWS, salted_join
 
 P, N = Vec3.of(), Vec3.of("nx", "ny", "nz")
 QUERY_KEY = ("line_id", "pt_idx")

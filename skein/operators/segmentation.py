@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skein.functions.vec import Vec3
 from skein.operators.geometry import cross_curvature, curvature, line_lengths
 from skein.session import reliable
-from skein.skew import CHUNK, chunked_fold, explode_range, halo_windows, line_running_sums
+from skein.skew import chunked_fold, explode_range, halo_windows, line_running_sums
 
 P = Vec3.of()
 FOLD = 1 << 12

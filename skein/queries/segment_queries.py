@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from skein.operators import segmentation as S
 from skein.queries.base import ARCS, CURVATURE, POINTS, query, rounded, s6, with_ctes
 from skein.queries.geometry_queries import CROSS

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skein.queries.base import ORDER_POINTS, POINTS, query, rounded, s6, with_ctes
+from skein.queries.base import POINTS, query, rounded, s6, with_ctes
 from skein.session import ensure_checkpoint_dir
 from skein.sources import binary, text
 from skein.sources.tables import event_points

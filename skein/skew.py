@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.window import WindowSpec
 
 from skein.session import reliable
 

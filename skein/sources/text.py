@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from skein.functions.scalars import parse_number
 from skein.functions.vec import Vec3
 from skein.operators.geometry import drop_near_kept, global_index, shift_nonnegative
-from skein.skew import attach_line, explode_range, halo_windows, rank_within, running_sums
+from skein.skew import explode_range, halo_windows, rank_within, running_sums
 
 POINT_COLUMNS = ["file", "line_id", "pt_idx", "x", "y", "z"]
 L_RECORD = 1 << 12       # indices per ``l`` record

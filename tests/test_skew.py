@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from skein.functions.vec import Vec3
 from skein.operators import geometry as G
 from skein.operators import opacity as O
 from skein.operators import search as N

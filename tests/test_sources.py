@@ -4,7 +4,6 @@ import struct
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from skein.operators import fields as V
 from skein.operators import geometry as G
