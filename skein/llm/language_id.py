@@ -23,6 +23,9 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 400, 512, 32 << 10
 #: Dictionaries are cut to the smallest one, as nearer content is cheaper to refer to, but not below this.
 LEAST_DICT_BYTES = 8 << 10
 BLOCK_BYTES = 1 << 10
+#: A text below SHORT_BYTES is encoded SUFFIXES times, from other places on: whole bytes are too
+#: coarse a measure of a few words. PAD follows, without which the encoder stores few bytes raw.
+SHORT_BYTES, SUFFIXES, PAD = 256, 16, b" " * 256
 LEVEL = 9
 #: A document is rejected if the runner-up is not larger by this share of the best size.
 MIN_MARGIN = 0.002
@@ -91,7 +94,10 @@ def _coders(model: Model) -> list[zstandard.ZstdCompressor]:
 def sizes(text: str, coders: list[zstandard.ZstdCompressor]) -> list[int]:
     """Bytes of the encoded text by language."""
     data = normal(text)
-    blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
+    if len(data) < SHORT_BYTES:
+        blocks = [data[i:] + PAD for i in range(0, len(data), -(-len(data) // SUFFIXES) or 1)]
+    else:
+        blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
     return [sum(len(c.compress(b)) for b in blocks) for c in coders]
 
 

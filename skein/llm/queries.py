@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, language_id, line_dedup, mixing, simhash
+from skein.llm import decontaminate, language_id, line_dedup, mixing, secrets, simhash, toxicity
 from skein.llm.common import held_out, table
 from skein.session import reliable
 
@@ -24,6 +24,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model, "score").select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def mixing_sql() -> str:
     """Targets by filling sources in the order in which they reach their limit, seats by quotients."""
     b, m = mixing.BLOCK_TOKENS, mixing.MAX_EPOCHS
@@ -85,6 +94,11 @@ def op5(spark, sf_dir):
     )
 
 
+@query("op7_secret_scan")
+def op7(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "spans"), "spans")
+
+
 @query("op9_line_dedup", f"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents),
 n AS (SELECT source, trim(line) AS line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
