@@ -133,5 +133,9 @@ def digest(found: DataFrame, out: str) -> DataFrame:
     """Counts of base kinds, the hash of the base spans, and all spans as text."""
     spans = F.col(out)
     base = F.filter(spans, lambda s: s["kind"].isin(*KINDS[:3]))
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
