@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, language_id, line_dedup, mixing, secrets, simhash, toxicity
+from skein.llm import decontaminate, language_id, line_dedup, mixing, secrets, simhash, span_dedup, topk, toxicity
 from skein.llm.common import held_out, table
 from skein.session import reliable
 
@@ -94,11 +94,30 @@ def op5(spark, sf_dir):
     )
 
 
+@query("op6_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op6(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    whole = rows.select("vec_id", topk.scaled(F.col("embedding")).alias("embedding"))
+    return topk.search(whole, F.pmod("vec_id", F.lit(50)) == 0)
+
+
 @query("op7_secret_scan")
 def op7(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "spans"), "spans")
 
 
+@query("op8_span_dedup")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return span_dedup.drop_repeats(docs).withColumn("removed", F.col("n_removed") > 0)
+
+
 @query("op9_line_dedup", f"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents),
 n AS (SELECT source, trim(line) AS line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
