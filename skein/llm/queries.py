@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, language_id, line_dedup, mixing, secrets, simhash, span_dedup, topk, toxicity
+from skein.llm import decontaminate, language_id, line_dedup, mixing, revisits, secrets, simhash, span_dedup, topk, toxicity
 from skein.llm.common import held_out, table
 from skein.session import reliable
 
@@ -132,3 +132,36 @@ SELECT doc_id, array_to_string(kept, chr(10)) AS text, coalesce(len(every), 0)::
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs).drop("source")
+
+
+@query("op10_revisit_resolution", """
+WITH u AS (SELECT page_id AS i, html, trim(url) AS url, regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme FROM pages),
+c AS (SELECT *, CASE WHEN scheme = '' THEN regexp_replace(url, '#.*$', '') ELSE lower(scheme) || '://' ||
+    CASE lower(scheme) WHEN 'http' THEN regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':80$', '')
+      WHEN 'https' THEN regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':443$', '')
+      ELSE lower(regexp_extract(url, '://([^/?#]*)', 1)) END ||
+    CASE WHEN regexp_extract(url, '://[^/?#]*([^#]*)', 1) LIKE '/%' THEN '' ELSE '/' END || regexp_extract(url, '://[^/?#]*([^#]*)', 1) END AS key FROM u),
+f AS (SELECT i, key, html, 1700000000 + i * 60 AS ts, '"' || md5(html) || '"' AS etag, 'day ' || (i % 365) AS modified, length(html) AS n FROM c),
+v AS (SELECT i, key, ts + 86400 * (1 + i % 3) AS ts,
+    CASE WHEN i % 7 <> 0 AND i % 2 = 0 THEN CASE WHEN i % 5 = 0 THEN '"stale"' ELSE etag END END AS etag,
+    CASE WHEN i % 7 <> 0 AND i % 2 = 1 THEN modified END AS modified FROM f),
+l AS (SELECT key, ts, max(i) AS i FROM f GROUP BY ALL),
+a AS (SELECT v.i, v.key, v.ts, v.etag, v.modified, l.i AS j FROM v ASOF LEFT JOIN l ON v.key = l.key AND v.ts > l.ts),
+s AS (SELECT a.*, f.etag AS f_etag, f.modified AS f_modified, f.n, f.html, CASE WHEN j IS NULL THEN 'no_response'
+    WHEN a.etag IS NULL AND a.modified IS NULL THEN 'no_validator'
+    WHEN CASE WHEN a.etag IS NOT NULL THEN a.etag = f.etag ELSE a.modified = f.modified END THEN 'resolved' ELSE 'mismatch' END AS state
+  FROM a LEFT JOIN f ON a.j = f.i)
+SELECT 2 * i AS record_id, key AS url, 'response' AS kind, 'full' AS state, 2 * i AS response_id,
+  'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || etag || chr(10) || 'last-modified: ' || modified AS headers,
+  html AS payload FROM f
+UNION ALL
+SELECT 2 * i + 1, key, 'revisit', state, CASE WHEN state = 'resolved' THEN 2 * j ELSE -1 END,
+  CASE WHEN state = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) ||
+    'etag: ' || CASE WHEN etag IS NULL THEN f_etag ELSE 'W/' || etag END || chr(10) || 'last-modified: ' || coalesce(modified, f_modified)
+  ELSE 'cache-control: max-age=60' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts || CASE WHEN etag IS NOT NULL THEN chr(10) || 'etag: W/' || etag ELSE '' END ||
+    CASE WHEN modified IS NOT NULL THEN chr(10) || 'last-modified: ' || modified ELSE '' END END,
+  CASE WHEN state = 'resolved' THEN html END FROM s""")
+def op10(spark, sf_dir):
+    log = revisits.capture_log(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    lines = F.array_join(F.transform("headers", lambda x: F.concat_ws(": ", x["name"], x["value"])), "\n")
+    return revisits.resolve(log).withColumns({"headers": lines, "response_id": F.coalesce("response_id", F.lit(-1).cast("long"))})
