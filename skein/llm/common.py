@@ -13,6 +13,16 @@ STEP_BYTES = 4 << 20
 LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Text that Spark sends to a Python task at a time. Rows of text are long, and a task holds a few batches.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session is told to send batches of at most BATCH_BYTES to Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skein.llm.common import as_bytes, fresh, quoted, steps
+from skein.llm.common import as_bytes, fresh, quoted, small_batches, steps
 from skein.session import reliable
 
 WINDOW, SHINGLE = 10, 5
@@ -170,7 +170,7 @@ def count_shingles(docs: DataFrame, text: str, windows: Windows) -> dict[int, di
                 [pa.array(np.full(len(some), size), pa.int32()), pa.array(some, pa.int64()), pa.array(total[some])], ["size", "k", "n"]
             )
 
-    found = docs.select(quoted(text)).mapInArrow(run, "size int, k bigint, n bigint").groupBy("size", "k").agg(F.sum("n").alias("n"))
+    found = small_batches(docs).select(quoted(text)).mapInArrow(run, "size int, k bigint, n bigint").groupBy("size", "k").agg(F.sum("n").alias("n"))
     out: dict[int, dict[int, int]] = {size: {} for size in shared.value}
     for r in found.collect():  # at most one row for each shingle of the pass
         out[r["size"]][shared.value[r["size"]][r["k"]]] = r["n"]
@@ -253,7 +253,7 @@ def match(docs: DataFrame, text: str, windows: Windows, prefix, out: str) -> Dat
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     kind = "n_words bigint, spans array<struct<first: bigint, last: bigint>>, items array<string>"
-    return docs.withColumn(out, F.arrow_udf(run, kind).asNondeterministic()(quoted(text)))
+    return small_batches(docs).withColumn(out, F.arrow_udf(run, kind).asNondeterministic()(quoted(text)))
 
 
 def _window_hash(hasher: Hasher, words: tuple[bytes, ...]) -> np.uint64:

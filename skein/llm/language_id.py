@@ -16,10 +16,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skein.llm.common import fresh, held_out, quoted
+from skein.llm.common import fresh, held_out, quoted, small_batches
 
 #: Documents sampled per language, bytes taken from each, and bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 400, 512, 32 << 10
+#: Documents drawn per language for each one sampled, as some have no letter.
+DRAW = 4
 #: Dictionaries are cut to the smallest one, as nearer content is cheaper to refer to, but not below this.
 LEAST_DICT_BYTES = 8 << 10
 BLOCK_BYTES = 1 << 10
@@ -57,15 +59,23 @@ def fit(
     """Collect a bounded sample of each language: ``sample_docs`` documents by the hash of their id.
 
     At most ``sample_docs`` times ``SAMPLE_BYTES`` characters of a language reach the driver, from
-    the middle of each sampled text. The rank is cut before the shuffle, so a language that holds
-    most rows costs no more than another. Documents without a letter or a language are not learnt.
+    the middle of each sampled text; the languages themselves are as few as a person names. About
+    ``DRAW`` times as many documents are ranked, so a language that holds most rows costs no more than
+    another. Documents without a letter or a language are not learnt.
     """
-    size = F.length(text)
-    piece = F.substring(quoted(text), F.greatest((size - SAMPLE_BYTES) / 2, F.lit(0)).cast("int") + 1, F.lit(SAMPLE_BYTES))
+    docs = docs.where(train & quoted(lang).isNotNull())
+    piece = F.length(quoted(text))
+    piece = F.substring(quoted(text), F.greatest((piece - SAMPLE_BYTES) / 2, F.lit(0)).cast("int") + 1, F.lit(SAMPLE_BYTES))
+    # hashes below this draw a few times the sample from a language, so that what is ranked is bounded
+    counts = docs.groupBy(quoted(lang).alias("known")).count().select(
+        "known", F.least(F.lit(1.0), F.lit(float(DRAW * sample_docs)) / F.col("count")).alias("share")
+    )
+    deal = F.xxhash64(quoted(order))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("deal", "piece"))
     rows = (
-        docs.where(train & quoted(lang).isNotNull() & quoted(text).rlike(r"\p{L}"))
-        .select(quoted(lang).alias("lang"), F.xxhash64(quoted(order)).alias("deal"), piece.alias("piece"))
+        docs.join(F.broadcast(counts), quoted(lang) == F.col("known"))
+        .where((F.pmod(deal, F.lit(1 << 30)) < F.col("share") * (1 << 30)) & quoted(text).rlike(r"\p{L}"))
+        .select(F.col("known").alias("lang"), deal.alias("deal"), piece.alias("piece"))
         .withColumn("rank", rank)
         .where(F.col("rank") <= sample_docs)
         .select("lang", "rank", "piece")
@@ -135,7 +145,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", min_margin: floa
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     judge = F.arrow_udf(run, RESULT).asNondeterministic()
-    return docs.withColumn(out, judge(quoted(text)))
+    return small_batches(docs).withColumn(out, judge(quoted(text)))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skein.llm.common import quoted
+from skein.llm.common import quoted, small_batches
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 SCOPE = 200
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, out: str, text: str = "text", scope: int = SCOPE) -> D
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     kind = "array<struct<kind: string, first: bigint, last: bigint>>"
-    return docs.withColumn(out, F.arrow_udf(run, kind).asNondeterministic()(quoted(text)))
+    return small_batches(docs).withColumn(out, F.arrow_udf(run, kind).asNondeterministic()(quoted(text)))
 
 
 def joined(spans: Column) -> Column:

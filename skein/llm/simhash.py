@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from skein.llm.common import LOWER_ASCII, as_bytes, fresh, quoted
+from skein.llm.common import LOWER_ASCII, as_bytes, fresh, quoted, small_batches
 from skein.llm.components import components
 from skein.session import reliable
 
@@ -63,7 +63,7 @@ def add_fingerprint(docs: DataFrame, out: str, text: str = "text", size: int = S
         return pa.array(_signed(found), pa.int64())
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(run, "bigint").asNondeterministic()(quoted(text)))
+    return small_batches(docs).withColumn(out, F.arrow_udf(run, "bigint").asNondeterministic()(quoted(text)))
 
 
 # ------------------------------------------------------------------ vantage-point trees

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from skein.llm.common import fresh, quoted
+from skein.llm.common import fresh, quoted, small_batches
 
 MIN_RUN, MAX_RUN, MIN_WORDS = 2, 3, 15
 _NO_ID = (1 << 63) - 1
@@ -65,7 +65,7 @@ def all_runs(docs: DataFrame, doc_id: str, text: str, min_run: int, max_run: int
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "text_key", "a", "b", "first", "last"])
 
-    rows = docs.select(F.coalesce(quoted(doc_id), F.lit(_NO_ID)), F.xxhash64(quoted(text)), quoted(text))
+    rows = small_batches(docs).select(F.coalesce(quoted(doc_id), F.lit(_NO_ID)), F.xxhash64(quoted(text)), quoted(text))
     return rows.mapInArrow(run, "id bigint, text_key bigint, a bigint, b bigint, first int, last int")
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skein.llm.common import as_bytes, held_out, quoted
+from skein.llm.common import as_bytes, held_out, quoted, small_batches
 from skein.llm.decontaminate import Hasher, Probe, _batches
 from skein.session import reliable
 
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
 
     # at most max_positive + max_unlabelled ids
     sampled = reliable(
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         .mapInArrow(words, "positive boolean, words array<bigint>, n array<bigint>", barrier=False)
     )
     sizes = {r[0]: r[1] for r in sampled.groupBy("positive").count().collect()}
@@ -169,4 +169,4 @@ def score(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFr
             yield pa.array(1 / (1 + np.exp(-np.clip(g, -500, 500))))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn(out, F.arrow_udf(run, "double").asNondeterministic()(quoted(text)))
+    return small_batches(docs).withColumn(out, F.arrow_udf(run, "double").asNondeterministic()(quoted(text)))
