@@ -124,27 +124,30 @@ def resolve(records: DataFrame, parts: int | None = None) -> DataFrame:
     etag, modified = _strong(_field(F.col("fields"), "etag")), _field(F.col("fields"), "last-modified")
     same = F.when(etag.isNotNull(), etag.eqNullSafe(F.col("found")["etag"])).otherwise(modified.eqNullSafe(F.col("found")["modified"]))
     state = (
-        F.when(full, "full")
-        .when(F.col("found").isNull(), "no_response")
+        F.when(F.col("found").isNull(), "no_response")
         .when(etag.isNull() & modified.isNull(), "no_validator")
         .when(same, "resolved")
         .otherwise("mismatch")
     )
-    known = base.join(found, "record_id", "left").withColumn("state", state)
-    known = known.withColumn("response_id", F.when(full, F.col("record_id")).when(F.col("state") == "resolved", F.col("found")["record_id"]))
+    revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
+    # responses are whole as they are: of the joins, only the last one moves payloads, and each once
+    known = base.where(revisit).drop("payload").join(found, "record_id", "left").withColumn("state", state)
+    known = known.withColumn("response_id", F.when(F.col("state") == "resolved", F.col("found")["record_id"]))
     stored = base.where(full & F.col("record_id").isNotNull()).select(
         F.col("record_id").alias("stored_id"), F.col("fields").alias("stored_fields"), F.col("payload").alias("stored_payload")
     )
     if not stored.groupBy("stored_id").count().where("count > 1").isEmpty():
         stored = reliable(stored.groupBy("stored_id").agg(F.min(F.struct("stored_fields", "stored_payload")).alias("s")).select("stored_id", "s.*"))
-    asked = F.when(F.col("state") == "resolved", F.col("response_id"))
-    out = known.withColumn("asked", asked).join(stored, F.col("asked") == F.col("stored_id"), "left")
+    out = known.join(stored, F.col("response_id") == F.col("stored_id"), "left")
     resolved = F.col("state") == "resolved"
-    return out.select(
+    return base.where(~revisit).select(
+        "record_id", "url", "kind", F.when(full, "full").otherwise("no_response").alias("state"),
+        F.when(full, F.col("record_id")).alias("response_id"), F.col("fields").alias("headers"), F.when(full, F.col("payload")).alias("payload"),
+    ).unionByName(out.select(
         "record_id", "url", "kind", "state", "response_id",
         F.when(resolved, merged(F.col("stored_fields"), F.col("fields"))).otherwise(F.col("fields")).alias("headers"),
-        F.when(resolved, F.col("stored_payload")).when(full, F.col("payload")).alias("payload"),
-    )
+        F.when(resolved, F.col("stored_payload")).alias("payload"),
+    ))
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
