@@ -222,10 +222,10 @@ def center_surround(similar: DataFrame, points: DataFrame, inner: float) -> Data
     ).select("line_id", "pt_idx", alpha.alias("alpha"))
 
 
-def saliency(table: DataFrame) -> DataFrame:
-    """1 - exp(-sum(variation / (1 + dist / 2)) / 64) per point of a neighbour table."""
+def saliency(table: DataFrame, width: int = TABLE_WIDTH) -> DataFrame:
+    """1 - exp(-sum(variation / (1 + dist / 2)) / width) per point of a table of ``width`` neighbours."""
     term = F.col("variation") / (F.lit(1.0) + F.lit(0.5) * F.col("dist"))
-    total = finite_or(F.sum(term)) / F.lit(float(TABLE_WIDTH))
+    total = finite_or(F.sum(term)) / F.lit(float(width))
     return table.groupBy("line_id", "pt_idx").agg((F.lit(1.0) - F.exp(-total)).alias("saliency"))
 
 

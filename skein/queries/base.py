@@ -44,9 +44,12 @@ POINTS = """points AS (
     date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts)::DOUBLE / 86400000000e0 AS x,
     value / 10e0 AS y,
     CASE event_type WHEN 'click' THEN 1e0 WHEN 'error' THEN 2e0 WHEN 'purchase' THEN 3e0
-      WHEN 'signup' THEN 4e0 WHEN 'view' THEN 5e0 END AS z
+      WHEN 'signup' THEN 4e0 WHEN 'view' THEN 5e0 ELSE 6e0 END AS z
   FROM events)"""
 
+# Unit cells that hold all event points.
+BOX = """box AS (SELECT floor(max(x)) + 1e0 AS bx, floor(max(y)) + 1e0 AS bb, max(z) AS bz FROM points)"""
+
 ORDER_POINTS = """points AS (
   SELECT l_orderkey AS line_id,
     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,

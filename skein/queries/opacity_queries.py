@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import opacity as O
-from skein.queries.base import ARCS, POINTS, query, r6, rounded, s6, with_ctes
+from skein.queries.base import ARCS, BOX, POINTS, query, r6, rounded, s6, with_ctes
 from skein.queries.geometry_queries import KEY
-from skein.sources.tables import event_points
+from skein.session import reliable
+from skein.sources.tables import event_dims, event_points
 
 TOTAL, WIDTH, HEIGHT = 1000, 16, 16
 
@@ -28,10 +29,11 @@ WEIGHTS = """weights AS (
     ELSE LEAST(arc/len*(n_cp-1), n_cp - 1 - 1e-4) END AS alpha_weight
   FROM arcs a JOIN cp_lines c ON c.line_id = a.line_id)"""
 
-FRAGS = f"""frags AS (
-  SELECT *, CAST(floor(y/50e0*{HEIGHT})*{WIDTH} + floor(x/31e0*{WIDTH}) AS BIGINT) AS pixel, z AS depth, y/50e0 AS importance,
-    LEAST(0.999e0, GREATEST(0.001e0, y/50e0))**2 AS g2, LEAST(0.999e0, GREATEST(0.001e0, y/50e0)) AS g
-  FROM weights WHERE x >= 0 AND x/31e0 < 1 AND y >= 0 AND y/50e0 < 1)"""
+FRAGS = BOX + f""",
+frags AS (
+  SELECT *, CAST(floor(y/bb*{HEIGHT})*{WIDTH} + floor(x/bx*{WIDTH}) AS BIGINT) AS pixel, z AS depth, y/bb AS importance,
+    LEAST(0.999e0, GREATEST(0.001e0, y/bb))**2 AS g2, LEAST(0.999e0, GREATEST(0.001e0, y/bb)) AS g
+  FROM weights, box WHERE x >= 0 AND x/bx < 1 AND y >= 0 AND y/bb < 1)"""
 
 ALPHA = """shaded AS (
   SELECT *, LEAST(1e0, GREATEST(0e0, 1e0/(1e0 + (1e0-g)**3e0*(500e0*gf + 100e0*(gall-gf-g2))))) AS alpha
@@ -72,12 +74,16 @@ def _weights(points):
     return lines, O.alpha_weights(points, lines)
 
 
-def _fragments(weighted):
-    x, y = F.col("x") / F.lit(31.0), F.col("y") / F.lit(50.0)
+def _drawn(spark, folder):
+    """Control points, weighted points and their fragments; the points are fixed, as all steps read them."""
+    lines, weighted = _weights(event_points(spark, folder))
+    lines, weighted = reliable(lines), reliable(weighted)
+    cols, rows, _ = event_dims(spark, folder)
+    x, y = F.col("x") / F.lit(float(cols)), F.col("y") / F.lit(float(rows))
     frags = O.fragments(
         weighted.withColumns({"depth": F.col("z"), "importance": y}), WIDTH, HEIGHT, x, y
     )
-    return O.depth_order(frags)
+    return lines, weighted, O.depth_order(frags)
 
 
 def _smoothed(lines, frags):
@@ -103,7 +109,7 @@ def control_point_lines(spark, folder):
 @query("alpha_weights", with_ctes(POINTS, ARCS, CONTROL, WEIGHTS, select=f"""
 SELECT line_id, pt_idx, {s6('alpha_weight')} FROM weights"""))
 def alpha_weights(spark, folder):
-    _, weighted = _weights(event_points(spark, folder))
+    *_, frags = _drawn(spark, folder)
     return rounded(weighted.select(*KEY, "alpha_weight"), "alpha_weight")
 
 
@@ -111,45 +117,45 @@ def alpha_weights(spark, folder):
 SELECT line_id, pt_idx, pixel,
   CAST(row_number() OVER (PARTITION BY pixel ORDER BY depth, line_id, pt_idx) - 1 AS INTEGER) AS frag FROM frags"""))
 def fragments(spark, folder):
-    _, weighted = _weights(event_points(spark, folder))
-    return _fragments(weighted).select(*KEY, "pixel", "frag")
+    *_, frags = _drawn(spark, folder)
+    return frags.select(*KEY, "pixel", "frag")
 
 
 @query("pixel_importance", with_ctes(POINTS, ARCS, CONTROL, WEIGHTS, FRAGS, select=f"""
 SELECT pixel, {s6('SUM(g2)', 'gall')}, COUNT(*) AS n FROM frags GROUP BY pixel"""))
 def pixel_importance(spark, folder):
-    _, weighted = _weights(event_points(spark, folder))
-    return rounded(O.pixel_importance(_fragments(weighted)), "gall")
+    *_, frags = _drawn(spark, folder)
+    return rounded(O.pixel_importance(frags), "gall")
 
 
 @query("pixel_alpha", with_ctes(POINTS, ARCS, CONTROL, WEIGHTS, FRAGS, ALPHA, select=f"""
 SELECT line_id, pt_idx, pixel, {s6('alpha')} FROM shaded"""))
 def pixel_alpha(spark, folder):
-    _, weighted = _weights(event_points(spark, folder))
-    out = O.fragment_opacity(_fragments(weighted))
+    *_, frags = _drawn(spark, folder)
+    out = O.fragment_opacity(frags)
     return rounded(out.select(*KEY, "pixel", "alpha"), "alpha")
 
 
 @query("min_gather", with_ctes(POINTS, ARCS, CONTROL, WEIGHTS, FRAGS, ALPHA, GATHER, select=f"""
 SELECT cp_id, {s6('alpha')} FROM gathered"""))
 def min_gather(spark, folder):
-    _, weighted = _weights(event_points(spark, folder))
-    return rounded(O.gather_minimum(O.fragment_opacity(_fragments(weighted))), "alpha")
+    *_, frags = _drawn(spark, folder)
+    return rounded(O.gather_minimum(O.fragment_opacity(frags)), "alpha")
 
 
 @query("laplace_smooth", with_ctes(*BASE, select=f"""
 SELECT cp_id, line_id, {s6('alpha')} FROM sm9"""))
 def laplace_smooth(spark, folder):
-    lines, weighted = _weights(event_points(spark, folder))
-    out = _smoothed(lines, _fragments(weighted))
+    lines, weighted, frags = _drawn(spark, folder)
+    out = _smoothed(lines, frags)
     return rounded(out.select("cp_id", "line_id", "alpha"), "alpha")
 
 
 @query("vertex_alpha", with_ctes(*BASE, VERTEX, select=f"""
 SELECT line_id, pt_idx, {s6('alpha')} FROM vertex"""))
 def vertex_alpha(spark, folder):
-    lines, weighted = _weights(event_points(spark, folder))
-    out = O.vertex_alpha(weighted, _smoothed(lines, _fragments(weighted)))
+    lines, weighted, frags = _drawn(spark, folder)
+    out = O.vertex_alpha(weighted, _smoothed(lines, frags))
     return rounded(out.select(*KEY, "alpha"), "alpha")
 
 
@@ -171,9 +177,9 @@ px AS (SELECT pixel, SUM(r*(1e0-a)*t) AS r, SUM(g_*(1e0-a)*t) AS g, SUM(b*(1e0-a
   1e0 - exp(SUM(ln(a))) AS alpha FROM front GROUP BY pixel)""", select=f"""
 SELECT pixel, {s6('r/alpha', 'r')}, {s6('g/alpha', 'g')}, {s6('b/alpha', 'b')}, {s6('alpha')} FROM px"""))
 def composite(spark, folder):
-    _, weighted = _weights(event_points(spark, folder))
+    *_, frags = _drawn(spark, folder)
     i = F.col("importance")
-    colored = _fragments(weighted).withColumns(
+    colored = frags.withColumns(
         {"a": F.lit(0.2) + F.lit(0.6) * i, "r": i, "g": F.col("z") / F.lit(5.0), "b": F.lit(1.0) - i}
     )
     return rounded(O.composite(colored), "r", "g", "b", "alpha")

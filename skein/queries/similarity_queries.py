@@ -204,12 +204,12 @@ def simple_opacity(spark, folder):
 
 
 @query("neighbor_counts", with_ctes(POINTS, EDGES, select="""
-SELECT p.line_id, p.pt_idx, LEAST(COUNT(e.nbr_line), 64) AS neighbours
+SELECT p.line_id, p.pt_idx, COUNT(e.nbr_line) AS neighbours
 FROM points p LEFT JOIN edges e ON e.line_id = p.line_id AND e.pt_idx = p.pt_idx
 GROUP BY p.line_id, p.pt_idx"""))
 def neighbor_counts(spark, folder):
     points = event_points(spark, folder)
-    return M.neighbour_counts(N.top_neighbours(edges(spark, folder)), points)
+    return M.neighbour_counts(edges(spark, folder), points)
 
 
 @query("opacity_spread", with_ctes(POINTS, """opaque AS (

@@ -24,6 +24,9 @@ HOT_ROWS = 1 << 20       # a group above this size is split before it is sorted
 HOT_KEYS = 4096          # at most this many keys can hold 1/HOT_KEYS of the rows each
 MAX_FAN = 64
 
+# Helper columns; no caller has columns of these names.
+PART, CHUNK_OF, SHARE, FAN, BLOCK = "__skew_part", "_chunk", "__skew_share", "__skew_fan", "__skew_block"
+
 
 def hottest(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the largest group (partial counts are combined before the shuffle)."""
@@ -63,27 +66,27 @@ def running_sums(
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = reliable(
-        df.withColumns({f"_v_{n}": c for n, c in sums.items()})
+        df.withColumns({f"__skew_v_{n}": c for n, c in sums.items()})
         .repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-        .withColumn("_part", F.spark_partition_id())
+        .withColumn(PART, F.spark_partition_id())
     )
-    local = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(
+    local = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(PART).rowsBetween(
         Window.unboundedPreceding, -1
     )
     shifts = (
-        ranged.groupBy("_part", *keys)
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-        .withColumns({f"_s_{n}": F.sum(f"_t_{n}").over(earlier) for n in sums})
-        .where(F.coalesce(*[F.col(f"_s_{n}") for n in sums]).isNotNull())
-        .select("_part", *keys, *[f"_s_{n}" for n in sums])
+        ranged.groupBy(PART, *keys)
+        .agg(*[F.sum(f"__skew_v_{n}").alias(f"__skew_t_{n}") for n in sums])
+        .withColumns({f"__skew_s_{n}": F.sum(f"__skew_t_{n}").over(earlier) for n in sums})
+        .where(F.coalesce(*[F.col(f"__skew_s_{n}") for n in sums]).isNotNull())
+        .select(PART, *keys, *[f"__skew_s_{n}" for n in sums])
     )
-    out = ranged.withColumns({n: F.sum(f"_v_{n}").over(local) for n in sums})
-    out = out.join(F.broadcast(shifts), ["_part", *keys], "left")
+    out = ranged.withColumns({n: F.sum(f"__skew_v_{n}").over(local) for n in sums})
+    out = out.join(F.broadcast(shifts), [PART, *keys], "left")
     return out.withColumns(
-        {n: F.col(n) + F.coalesce(F.col(f"_s_{n}"), F.lit(0)) for n in sums}
+        {n: F.col(n) + F.coalesce(F.col(f"__skew_s_{n}"), F.lit(0)) for n in sums}
     ).select(*df.columns, *sums)
 
 
@@ -131,12 +134,12 @@ def halo_windows(
             F.floor((F.col(idx) + F.lit(before)) / size),
         )
     )
-    spread = df.withColumn("_chunk", F.explode(spots)).where(F.col("_chunk") >= 0)
-    w = Window.partitionBy(*lines, "_chunk").orderBy(idx)
+    spread = df.withColumn(CHUNK_OF, F.explode(spots)).where(F.col(CHUNK_OF) >= 0)
+    w = Window.partitionBy(*lines, CHUNK_OF).orderBy(idx)
     for stage in columns if isinstance(columns, list) else [columns]:
         cols = stage(w) if callable(stage) else {n: f(w) for n, f in stage.items()}
         spread = spread.withColumns(cols)
-    return spread.where(F.col("_chunk") == own).drop("_chunk")
+    return spread.where(F.col(CHUNK_OF) == own).drop(CHUNK_OF)
 
 
 def line_running_sums(
@@ -147,19 +150,19 @@ def line_running_sums(
     idx: str = "pt_idx",
 ) -> DataFrame:
     """Inclusive running sums along each line, for rows that already carry a dense ``idx``."""
-    w = Window.partitionBy(line, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    base = df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk)))
+    w = Window.partitionBy(line, CHUNK_OF).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    base = df.withColumn(CHUNK_OF, F.floor(F.col(idx) / F.lit(chunk)))
     local = base.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    earlier = Window.partitionBy(line).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(line).orderBy(CHUNK_OF).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        base.groupBy(line, "_chunk")
-        .agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
-        .withColumns({f"_s_{n}": F.sum(f"_s_{n}").over(earlier) for n in sums})
-        .where(F.col("_chunk") > 0)
+        base.groupBy(line, CHUNK_OF)
+        .agg(*[F.sum(c).alias(f"__skew_s_{n}") for n, c in sums.items()])
+        .withColumns({f"__skew_s_{n}": F.sum(f"__skew_s_{n}").over(earlier) for n in sums})
+        .where(F.col(CHUNK_OF) > 0)
     )
-    out = local.join(shifts, [line, "_chunk"], "left")
+    out = local.join(shifts, [line, CHUNK_OF], "left")
     return out.withColumns(
-        {n: F.col(n) + F.coalesce(F.col(f"_s_{n}"), F.lit(0.0)) for n in sums}
+        {n: F.col(n) + F.coalesce(F.col(f"__skew_s_{n}"), F.lit(0.0)) for n in sums}
     ).select(*df.columns, *sums)
 
 
@@ -181,10 +184,10 @@ def attach_line(
     """
     last = F.floor((F.col(n) - 1) / F.lit(chunk))
     per_chunk = lines.where(F.col(n) > 0).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))
+        CHUNK_OF, F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))
     )
-    keyed = df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk)).cast("bigint"))
-    return keyed.join(per_chunk, [line, "_chunk"], how).drop("_chunk")
+    keyed = df.withColumn(CHUNK_OF, F.floor(F.col(idx) / F.lit(chunk)).cast("bigint"))
+    return keyed.join(per_chunk, [line, CHUNK_OF], how).drop(CHUNK_OF)
 
 
 def spread_join(
@@ -222,17 +225,17 @@ def salted_join(
     total = counts.agg(F.sum("count")).first()[0]
     limit = max(hot_rows, total // HOT_KEYS)
     hot = counts.where(F.col("count") > limit).select(
-        *keys, F.least(F.ceil(F.col("count") / limit), F.lit(MAX_FAN)).cast("int").alias("_fan")
+        *keys, F.least(F.ceil(F.col("count") / limit), F.lit(MAX_FAN)).cast("int").alias(FAN)
     )
-    fan = F.coalesce(F.col("_fan"), F.lit(1))
+    fan = F.coalesce(F.col(FAN), F.lit(1))
     deal = F.pmod(F.xxhash64(*(spread or left.columns)), fan).cast("int")
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_share", deal).drop("_fan")
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(SHARE, deal).drop(FAN)
     copies = (
         right.join(F.broadcast(hot), keys, "left")
-        .withColumn("_share", F.explode(F.sequence(F.lit(0), fan - 1)))
-        .drop("_fan")
+        .withColumn(SHARE, F.explode(F.sequence(F.lit(0), fan - 1)))
+        .drop(FAN)
     )
-    return spread_join(dealt, copies, [*keys, "_share"], how).drop("_share")
+    return spread_join(dealt, copies, [*keys, SHARE], how).drop(SHARE)
 
 
 # ------------------------------------------------------------------ order-dependent folds
@@ -274,15 +277,15 @@ def chunked_fold(
         zero = F.struct(*[F.col("entry")[n].alias(n) for n in carry], none)
         return blocks.withColumn("_f", F.aggregate("_rows", zero, merge)).select(
             line,
-            "_chunk",
+            CHUNK_OF,
             "entry",
             F.struct(*[F.col("_f")[n].alias(n) for n in carry]).alias("exit"),
             F.col("_f")["out"].alias("out"),
         )
 
     blocks = (
-        df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk)).cast("bigint"))
-        .groupBy(line, "_chunk")
+        df.withColumn(CHUNK_OF, F.floor(F.col(idx) / F.lit(chunk)).cast("bigint"))
+        .groupBy(line, CHUNK_OF)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(idx), *elem))).alias("_rows"))
     )
     if (df.agg(F.max(idx)).first()[0] or 0) < chunk:
@@ -292,17 +295,17 @@ def chunked_fold(
     done = reliable(fold(blocks.withColumn("entry", first)))
     while True:
         before = done.select(
-            line, (F.col("_chunk") + 1).alias("_chunk"), F.col("exit").alias("_next")
+            line, (F.col(CHUNK_OF) + 1).alias(CHUNK_OF), F.col("exit").alias("_next")
         )
         stale = (
-            done.join(before, [line, "_chunk"])
+            done.join(before, [line, CHUNK_OF])
             .where(~F.col("_next").eqNullSafe(F.col("entry")))
-            .select(line, "_chunk", F.col("_next").alias("entry"))
+            .select(line, CHUNK_OF, F.col("_next").alias("entry"))
         )
-        redo = reliable(fold(blocks.join(stale, [line, "_chunk"])))
+        redo = reliable(fold(blocks.join(stale, [line, CHUNK_OF])))
         if redo.isEmpty():
             return done.drop("entry")
-        done = reliable(done.join(redo, [line, "_chunk"], "left_anti").unionByName(redo))
+        done = reliable(done.join(redo, [line, CHUNK_OF], "left_anti").unionByName(redo))
 
 
 # ------------------------------------------------------------------ long integer ranges
@@ -315,8 +318,8 @@ def explode_range(
     size = F.lit(block)
     lo, hi = low.cast("bigint"), high.cast("bigint")
     blocks = df.where(lo <= hi).withColumn(
-        "_block", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
+        BLOCK, F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
     )
-    first = F.greatest(lo, F.col("_block") * size)
-    last = F.least(hi, F.col("_block") * size + size - 1)
-    return blocks.withColumn(name, F.explode(F.sequence(first, last))).drop("_block")
+    first = F.greatest(lo, F.col(BLOCK) * size)
+    last = F.least(hi, F.col(BLOCK) * size + size - 1)
+    return blocks.withColumn(name, F.explode(F.sequence(first, last))).drop(BLOCK)

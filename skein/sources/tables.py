@@ -8,6 +8,7 @@ from skein.skew import rank_within
 
 # Position of an event type on the third axis.
 EVENT_LEVELS = {"click": 1.0, "error": 2.0, "purchase": 3.0, "signup": 4.0, "view": 5.0}
+OTHER_LEVEL = 6.0
 DAY_US = 86_400_000_000.0
 
 
@@ -15,21 +16,24 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def event_points(spark: SparkSession, folder: str) -> DataFrame:
-    """One line per user: days since 2024-01-01, value / 10, and the level of the event type."""
+def _events(spark: SparkSession, folder: str) -> DataFrame:
     level = F
     for kind, value in EVENT_LEVELS.items():
         level = level.when(F.col("event_type") == kind, F.lit(value))
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
-    raw = read(spark, folder, "events").select(
+    return read(spark, folder, "events").select(
         F.col("user_id").alias("line_id"),
         "ts",
         "event_id",
         (us / F.lit(DAY_US)).alias("x"),
         (F.col("value") / F.lit(10.0)).alias("y"),
-        level.alias("z"),
+        level.otherwise(OTHER_LEVEL).alias("z"),
     )
-    return rank_within(raw, ["line_id"], ["ts", "event_id"]).select(
+
+
+def event_points(spark: SparkSession, folder: str) -> DataFrame:
+    """One line per user: days since 2024-01-01, value / 10, and the level of the event type."""
+    return rank_within(_events(spark, folder), ["line_id"], ["ts", "event_id"]).select(
         "line_id", "pt_idx", "x", "y", "z"
     )
 
@@ -63,8 +67,10 @@ def supplier_critical_points(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Extent of the grid over the event lines.
-EVENT_GRID = (31, 50, 5)
+def event_dims(spark: SparkSession, folder: str) -> tuple[int, int, int]:
+    """Unit cells from 0 that hold all event points: columns, rows, layers (at least one each)."""
+    top = _events(spark, folder).agg(F.floor(F.max("x")) + 1, F.floor(F.max("y")) + 1, F.max("z")).first()
+    return tuple(max(int(t or 1), 1) for t in top)
 
 
 def event_grid(points: DataFrame) -> DataFrame:

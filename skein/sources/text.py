@@ -244,7 +244,7 @@ def _separated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trajectories(
-    spark: SparkSession, path: str, max_lines: int | None = 9999, downsample: int = 1
+    spark: SparkSession, path: str, max_lines: int | None = None, downsample: int = 1
 ) -> DataFrame:
     """Header, then ``id;hh:mm:ss;x;y;z;``: coordinates over 100, x shifted to start at 0 or above."""
     rows = _separated(spark, path)
@@ -259,7 +259,7 @@ def read_trajectories(
     return points.withColumn("x", F.col("x") - low)
 
 
-def read_clustered(spark: SparkSession, path: str, max_lines: int | None = 9999) -> DataFrame:
+def read_clustered(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
     """Header, then ``id;x;y;f;d;d`` with ids from 1: x and y shifted to 0 or above, z is 0."""
     rows = _separated(spark, path)
     parsed = rows.select(
@@ -335,7 +335,8 @@ def read_txt_field(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv_field(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``u,v,u,v,...,``; rows of unequal length are an error."""
-    rows = numbered_rows(spark, path).where("trim(value) <> ''").withColumn(
+    filled = numbered_rows(spark, path).where("trim(value) <> ''").withColumnRenamed("row", "_row")
+    rows = rank_within(filled, ["file"], ["_row"], "row").withColumn(
         "_f", F.filter(F.split("value", ","), lambda w: F.trim(w) != "")
     )
     widths = rows.agg(F.min(F.size("_f")), F.max(F.size("_f"))).first()
@@ -400,12 +401,16 @@ def write_obj(points: DataFrame, path: str, importance: str | None = None) -> No
     _write_ordered(obj_rows(points, importance), ["line_id", "block", "step"], path)
 
 
-def write_csv_field(grid: DataFrame, path: str) -> None:
-    """Rows ``u,v,`` per cell of the first layer, one text row per grid row."""
+def write_csv_field(grid: DataFrame, path: str, layer: int = 0) -> None:
+    """Rows ``u,v,`` per cell of ``layer``, one text row per grid row.
+
+    The format holds one layer; a grid that has others is an error, unless its caller selects one.
+    """
+    if not grid.where(F.col("layer") != layer).isEmpty():
+        raise ValueError(f"the grid has layers besides {layer}; write each to a path of its own")
     cell = F.concat(F.col("u").cast("string"), F.lit(","), F.col("v").cast("string"), F.lit(","))
     rows = (
-        grid.where("layer = 0")
-        .groupBy("row")
+        grid.groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("col", cell.alias("c")))).alias("_c"))
         .select("row", F.array_join(F.transform("_c", lambda e: e["c"]), "").alias("value"))
     )

@@ -141,3 +141,15 @@ def test_pixel_of_any_depth(spark):
     one, two = O.composite(tint).first(), O.composite(tint, chunk=16).first()
     for c in ("r", "g", "b", "alpha"):
         assert one[c] == pytest.approx(two[c])
+
+
+def test_rows_of_a_large_folder_keep_the_order_of_its_files(spark, tmp_path, monkeypatch):
+    from skein import skew
+    from skein.sources import text
+
+    for name, first in (("b", 100), ("a", 0), ("c", 200)):
+        (tmp_path / name).write_text("".join(f"{first + i}\n" for i in range(50)))
+    plain = [r.value for r in text.numbered_rows(spark, str(tmp_path), as_one=True).orderBy("row").collect()]
+    monkeypatch.setattr(skew.rank_within, "__defaults__", tuple(10 if x == skew.HOT_ROWS else x for x in skew.rank_within.__defaults__))
+    large = [r.value for r in text.numbered_rows(spark, str(tmp_path), as_one=True).orderBy("row").collect()]
+    assert plain == large == [str(f + i) for f in (0, 100, 200) for i in range(50)]
