@@ -8,14 +8,14 @@ from skein.operators import opacity as O
 from skein.queries.base import ARCS, BOX, POINTS, query, r6, rounded, s6, with_ctes
 from skein.queries.geometry_queries import KEY
 from skein.session import reliable
-from skein.sources.tables import event_dims, event_points
+from skein.sources.tables import event_dims, event_points, read
 
 TOTAL, WIDTH, HEIGHT = 1000, 16, 16
 
 CONTROL = f"""lens AS (SELECT line_id, COUNT(*) AS n, SUM(step) AS len FROM steps GROUP BY line_id),
-tot AS (SELECT SUM(len) AS all_len FROM lens),
-mark AS (SELECT l.*, len <= all_len/{TOTAL}e0 AS short FROM lens l, tot),
-rest AS (SELECT {TOTAL} - 2*COUNT(*) FILTER (short) AS cps, SUM(len) FILTER (NOT short) AS len FROM mark),
+tot AS (SELECT SUM(len) AS all_len, greatest({TOTAL}, 4*COUNT(*)) AS total FROM lens),
+mark AS (SELECT l.*, len <= all_len/total::DOUBLE AS short FROM lens l, tot),
+rest AS (SELECT (SELECT total FROM tot) - 2*COUNT(*) FILTER (short) AS cps, SUM(len) FILTER (NOT short) AS len FROM mark),
 share AS (SELECT m.*, m.len/r.len*r.cps AS s FROM mark m, rest r),
 dealt AS (
   SELECT line_id, n, len, CAST(CASE WHEN short THEN 2 ELSE floor(s) + CASE WHEN
@@ -69,14 +69,19 @@ VERTEX = """vertex AS (
   LEFT JOIN sm9 a ON a.cp_id = floor(alpha_weight) LEFT JOIN sm9 b ON b.cp_id = floor(alpha_weight) + 1)"""
 
 
-def _weights(points):
-    lines = O.control_points(points, TOTAL)
+def _total(spark, folder):
+    """Control points of all lines together: TOTAL, or enough for four on each line."""
+    return max(TOTAL, 4 * read(spark, folder, "events").agg(F.count_distinct("user_id")).first()[0])
+
+
+def _weights(points, total):
+    lines = O.control_points(points, total)
     return lines, O.alpha_weights(points, lines)
 
 
 def _drawn(spark, folder):
     """Control points, weighted points and their fragments; the points are fixed, as all steps read them."""
-    lines, weighted = _weights(event_points(spark, folder))
+    lines, weighted = _weights(event_points(spark, folder), _total(spark, folder))
     lines, weighted = reliable(lines), reliable(weighted)
     cols, rows, _ = event_dims(spark, folder)
     x, y = F.col("x") / F.lit(float(cols)), F.col("y") / F.lit(float(rows))
@@ -95,7 +100,7 @@ def _smoothed(lines, frags):
 @query("control_points", with_ctes(POINTS, ARCS, CONTROL, select=f"""
 SELECT line_id, n, {s6('len', 'arc_length')}, n_cp, cp_offset FROM cp_lines"""))
 def control_points(spark, folder):
-    lines = O.control_points(event_points(spark, folder), TOTAL)
+    lines = O.control_points(event_points(spark, folder), _total(spark, folder))
     return rounded(lines.select("line_id", "n", "arc_length", "n_cp", "cp_offset"), "arc_length")
 
 
@@ -103,13 +108,13 @@ def control_points(spark, folder):
 SELECT cp_offset + i AS cp_id, line_id, CAST(i AS INTEGER) AS cp_in_line
 FROM cp_lines, LATERAL (SELECT unnest(range(0, n_cp)) AS i)"""))
 def control_point_lines(spark, folder):
-    return O.control_point_lines(O.control_points(event_points(spark, folder), TOTAL))
+    return O.control_point_lines(O.control_points(event_points(spark, folder), _total(spark, folder)))
 
 
 @query("alpha_weights", with_ctes(POINTS, ARCS, CONTROL, WEIGHTS, select=f"""
 SELECT line_id, pt_idx, {s6('alpha_weight')} FROM weights"""))
 def alpha_weights(spark, folder):
-    *_, frags = _drawn(spark, folder)
+    _, weighted = _weights(event_points(spark, folder), _total(spark, folder))
     return rounded(weighted.select(*KEY, "alpha_weight"), "alpha_weight")
 
 
