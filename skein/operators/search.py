@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skein.functions.vec import Vec3
 from skein.operators.geometry import bounding_box
 from skein.session import reliable
-from skein.skew import HOT_ROWS, salted_join
+from skein.skew import HOT_ROWS, hottest, salted_join
 
 P, N = Vec3.of(), Vec3.of("nx", "ny", "nz")
 QUERY_KEY = ("line_id", "pt_idx")
@@ -34,10 +34,13 @@ def _cells(v: Vec3, size: float) -> dict[str, Column]:
     return {n: F.floor(c / F.lit(size)).cast("bigint") for n, c in zip(CELL, v.parts)}
 
 
-def _around(df: DataFrame, v: Vec3, size: float) -> DataFrame:
-    """One row per cell of the 3 x 3 x 3 block around ``v``."""
-    for name, c in _cells(v, size).items():
-        df = df.withColumn(name, F.explode(F.array(c - 1, c, c + 1)))
+def _around(df: DataFrame, v: Vec3, radius: float, size: float) -> DataFrame:
+    """One row per cell that the ball around ``v`` may touch: 8 with cells of twice the radius."""
+    for name, c in zip(CELL, v.parts):
+        # the slack covers the rounding of a difference that the distance test lets pass
+        reach = F.lit(radius) + (F.abs(c) + F.lit(radius)) * F.lit(1e-12)
+        low, high = (F.floor(x / F.lit(size)).cast("bigint") for x in (c - reach, c + reach))
+        df = df.withColumn(name, F.explode(F.sequence(low, high)))
     return df
 
 
@@ -45,14 +48,14 @@ def _parent(levels: int) -> list[Column]:
     return [F.shiftright(F.col(c), levels).alias(c) for c in CELL]
 
 
-def _crowding(targets: DataFrame, size: float, same: Sequence[str]) -> tuple[int, int]:
-    """Most vertices of one line in a cell, and most vertices in a cell."""
-    per_line = targets.withColumns(_cells(N, size)).groupBy(*CELL, *same, "nbr_line").count()
-    per_cell = per_line.groupBy(*CELL, *same).agg(
-        F.max("count").alias("line"), F.sum("count").alias("all")
-    )
-    row = per_cell.agg(F.max("line"), F.max("all")).first()
-    return row[0] or 0, row[1] or 0
+def _crowding(targets: DataFrame, size: float, same: Sequence[str]) -> int:
+    """Most vertices of one line in a cell."""
+    return hottest(targets.withColumns(_cells(N, size)), [*CELL, *same, "nbr_line"])
+
+
+def _asked_in_cell(queries: DataFrame, size: float, same: Sequence[str]) -> int:
+    """Bound on the query rows that meet in one cell, as each is copied to adjoining cells only."""
+    return hottest(queries.withColumns(_cells(P, size)), [*CELL, *same]) * 27
 
 
 def nearest_per_line(
@@ -78,7 +81,9 @@ def nearest_per_line(
     than the number of vertex pairs. Rows of crowded cells are dealt to several tasks.
     """
     key, same = list(key), list(same)
-    per_line, per_cell = _crowding(targets, radius, same)
+    size = 2.0 * radius
+    per_line = _crowding(targets, size, same)
+    largest = _asked_in_cell(queries, size, same)
     r2 = F.lit(float(radius) * float(radius))
     other = F.col(own) != F.col("nbr_line") if own else F.lit(True)
     d2 = P.sq_dist(N)
@@ -91,12 +96,12 @@ def nearest_per_line(
             *key, "nbr_line", F.col("_m.nbr_id").alias("nbr_id"), F.sqrt("_m.d2").alias("dist")
         )
 
-    around = _around(queries, P, radius)
+    around = _around(queries, P, radius, size)
     if per_line <= crowded or gate is not None:
         return finish(
             salted_join(
-                around, targets.withColumns(_cells(N, radius)), [*CELL, *same], spread=key,
-                hot_rows=hot_rows, largest=per_cell * 27,
+                around, targets.withColumns(_cells(N, size)), [*CELL, *same], spread=key,
+                hot_rows=hot_rows, largest=largest,
             )
         )
 
@@ -107,8 +112,8 @@ def nearest_per_line(
     levels = 0
     while levels < MAX_LEVELS and per_line > crowded:
         levels += 1
-        per_line, _ = _crowding(targets, radius / 2**levels, same)
-    fine = targets.withColumns(_cells(N, radius / 2**levels))
+        per_line = _crowding(targets, size / 2**levels, same)
+    fine = targets.withColumns(_cells(N, size / 2**levels))
     box = [f(c).alias(f"_{n}{c}") for c in ("nx", "ny", "nz") for n, f in (("l", F.min), ("h", F.max))]
 
     def boxes(level: int) -> DataFrame:
@@ -131,7 +136,7 @@ def nearest_per_line(
     cand = prune(
         salted_join(
             around, boxes(0), [*CELL, *same], spread=key, hot_rows=hot_rows,
-            largest=per_cell * 27,
+            largest=largest,
         ).where(other)
     )
     for level in range(1, levels + 1):
@@ -227,8 +232,8 @@ def nearest_lines(
 def points_within(points: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
     """Points within ``radius`` of at least one center (x, y, z)."""
     spots = centers.select(*P.named("nx", "ny", "nz"))
-    near = _around(spots, N, radius).distinct()
-    keyed = points.withColumns(_cells(P, radius))
+    near = _around(spots, N, radius, 2.0 * radius).distinct()
+    keyed = points.withColumns(_cells(P, 2.0 * radius))
     cond = P.sq_dist(N) <= F.lit(float(radius) ** 2)
     for c in CELL:
         near = near.withColumnRenamed(c, f"{c}2")

@@ -8,7 +8,7 @@ from skein.functions.scalars import finite_or, gaussian_pdf
 from skein.functions.vec import Vec3, clamp
 from skein.operators.geometry import resample_around
 from skein.operators.search import EDGES_KEY, nearest_lines
-from skein.skew import rank_within, spread_join
+from skein.skew import halo_windows, rank_within, spread_join
 
 P, Q = Vec3.of("px", "py", "pz"), Vec3.of("qx", "qy", "qz")
 
@@ -24,31 +24,42 @@ SPREAD_GAIN = 1.8
 SPREAD_FLOOR = 0.2
 
 
-def _windowed(edges: DataFrame, points: DataFrame, low: int, high: int) -> DataFrame:
-    """Each edge with both vertices at every index offset in [low, high] that both lines have."""
-    o = F.col("o")
-    spread = edges.select(*EDGES_KEY).withColumn(
-        "o", F.explode(F.sequence(F.lit(low), F.lit(high)))
-    ).withColumns({"_i": F.col("pt_idx") + o, "_j": F.col("nbr_pt") + o})
-    a = points.select("line_id", F.col("pt_idx").alias("_i"), *Vec3.of().named("px", "py", "pz"))
-    b = points.select(
-        F.col("line_id").alias("nbr_line"), F.col("pt_idx").alias("_j"),
-        *Vec3.of().named("qx", "qy", "qz"),
+def _profile(edges: DataFrame, points: DataFrame, low: int, high: int, value) -> DataFrame:
+    """Per edge the array ``_w`` of ``value`` at the index offsets in [low, high] that both lines have.
+
+    ``value`` takes both vertices as structs; ``_at`` is the place of offset 0. Each vertex gets the
+    array of vertices in reach of it once, so that an edge stays one row and meets two arrays of at
+    most high - low + 1 entries. ``pt_idx`` has to be dense from 0 in each line.
+    """
+    frames = halo_windows(
+        points.select("line_id", "pt_idx", *Vec3.of().named("x", "y", "z")),
+        {"_f": lambda w: F.collect_list(F.struct("x", "y", "z")).over(w.rowsBetween(low, high))},
+        -low, high,
+    )
+    a = frames.select("line_id", "pt_idx", F.col("_f").alias("_a"))
+    b = frames.select(
+        F.col("line_id").alias("nbr_line"), F.col("pt_idx").alias("nbr_pt"), F.col("_f").alias("_b")
+    )
+    both = spread_join(edges.select(*EDGES_KEY), a, ["line_id", "pt_idx"])
+    both = spread_join(both, b, ["nbr_line", "nbr_pt"])
+    before_a, before_b = (F.least(F.col(c), F.lit(-low)) for c in ("pt_idx", "nbr_pt"))
+    before = F.least(before_a, before_b)
+    after = F.least(F.size("_a") - before_a, F.size("_b") - before_b)
+    cut_a, cut_b = (
+        F.slice(F.col(c), n - before + 1, before + after)
+        for c, n in (("_a", before_a), ("_b", before_b))
+    )
+    return both.select(
+        *EDGES_KEY, F.zip_with(cut_a, cut_b, value).alias("_w"), (before + 1).alias("_at")
     )
-    half = spread_join(spread, a, ["line_id", "_i"])
-    return spread_join(half, b, ["nbr_line", "_j"]).drop("_i", "_j")
 
 
-def _profile(edges: DataFrame, points: DataFrame, low: int, high: int, value: Column) -> DataFrame:
-    """Per edge the array of (offset, value); at most high - low + 1 entries."""
-    rows = _windowed(edges, points, low, high).withColumn("_v", value)
-    return rows.groupBy(*EDGES_KEY).agg(
-        F.array_sort(F.collect_list(F.struct("o", F.col("_v").alias("v")))).alias("_w")
-    )
+def _distance(p: Column, q: Column) -> Column:
+    return Vec3.field(p).dist(Vec3.field(q))
 
 
 def _center(w: Column) -> Column:
-    return F.filter(w, lambda e: e["o"] == 0)[0]["v"]
+    return F.element_at(w, F.col("_at"))
 
 
 def _sum(w: Column, fn) -> Column:
@@ -57,11 +68,11 @@ def _sum(w: Column, fn) -> Column:
 
 def point_similarity(edges: DataFrame, points: DataFrame, window: int = POINT_WINDOW) -> DataFrame:
     """Sum of (d_i - d_0)^2 over the window without its last offset, over the window's full length."""
-    prof = _profile(edges, points, -window, window, P.dist(Q))
+    prof = _profile(edges, points, -window, window, _distance)
     w = F.col("_w")
     d0 = _center(w)
     inner = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
-    total = _sum(inner, lambda e: (e["v"] - d0) * (e["v"] - d0))
+    total = _sum(inner, lambda e: (e - d0) * (e - d0))
     return prof.select(
         *EDGES_KEY,
         F.coalesce(total / F.nullif(F.size(w), F.lit(0)), F.lit(EMPTY_SIMILARITY)).alias("similarity"),
@@ -72,11 +83,11 @@ def distance_variation(
     edges: DataFrame, points: DataFrame, window: int = VARIATION_WINDOW
 ) -> DataFrame:
     """Mean of (d_0 - d_i)^2 over the window, its length counted without the ends; 0 if empty."""
-    prof = _profile(edges, points, -window, window, P.dist(Q))
+    prof = _profile(edges, points, -window, window, _distance)
     w = F.col("_w")
     d0 = _center(w)
     inner = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
-    total = _sum(inner, lambda e: (d0 - e["v"]) * (d0 - e["v"]))
+    total = _sum(inner, lambda e: (d0 - e) * (d0 - e))
     n = F.size(w) - 2
     return prof.select(
         *EDGES_KEY,
@@ -90,10 +101,12 @@ def shape_variation(
 ) -> DataFrame:
     """Sum over offsets of |(p_{i+o} - q_{j+o}) - (p_i - q_j)|; ``sides`` is backward or both."""
     high = half if sides == "both" else 0
-    prof = _profile(edges, points, -half, high, (P - Q).struct())
+    prof = _profile(
+        edges, points, -half, high, lambda p, q: (Vec3.field(p) - Vec3.field(q)).struct()
+    )
     w = F.col("_w")
     c = _center(w)
-    total = _sum(w, lambda e: Vec3.field(e["v"]).dist(Vec3.field(c)))
+    total = _sum(w, lambda e: Vec3.field(e).dist(Vec3.field(c)))
     return prof.select(*EDGES_KEY, total.alias("variation"))
 
 

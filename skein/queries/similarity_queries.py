@@ -13,6 +13,7 @@ from skein.queries.base import ARCS, CURVATURE, POINTS, query, rounded, s6, with
 from skein.queries.geometry_queries import KEY
 from skein.queries.lsh_queries import BASE, FILED, _index, _table
 from skein.queries.search_queries import CRITICAL, EDGES, RADIUS, edges
+from skein.session import reliable
 from skein.plans.analysis import Application, Settings, analyze
 from skein.sources.tables import event_points, supplier_critical_points
 
@@ -49,7 +50,7 @@ tbl AS (SELECT * FROM varied WHERE rank <= 64)"""
 
 def neighbour_table(points):
     """Top 64 neighbours of each point with the variation of each."""
-    found = N.top_neighbours(N.neighbour_edges(points, RADIUS))
+    found = reliable(N.top_neighbours(N.neighbour_edges(points, RADIUS)))
     return found.join(M.shape_variation(found, points), EDGE)
 
 
@@ -167,7 +168,7 @@ SELECT p.line_id, p.pt_idx, {s6('CASE WHEN COALESCE(near, 0) = 0 THEN -1e0 ELSE
 FROM points p LEFT JOIN per ON per.line_id = p.line_id AND per.pt_idx = p.pt_idx"""))
 def center_surround_alpha(spark, folder):
     points = event_points(spark, folder)
-    found = edges(spark, folder)
+    found = reliable(edges(spark, folder))
     similar = M.point_similarity(found, points).join(found, EDGE)
     return rounded(M.center_surround(similar, points, 0.25), "alpha")
 
