@@ -6,8 +6,10 @@ unlabelled one. With the class prior p the risk of a scorer g is
     p * E_pos[loss(g)] + max(0, E_all[loss(-g)] - p * E_pos[loss(-g)])
 
 with the logistic loss; where the second part falls below zero, as the positives are fitted better
-than the data allow, the step climbs back on it. The scorer is linear in log counts of words whose
-share of documents differs between the two samples, and in the log length of the text.
+than the data allow, the step climbs back on it. The scorer is linear in log counts of words and word
+stems whose share of documents differs between the two samples, in whether they come again, and in the
+log length of the text. Stems tell where a toxic word occurs in many forms, each of them too rare to
+be learnt.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skein.llm.common import as_bytes, held_out, quoted, small_batches
-from skein.llm.decontaminate import Hasher, Probe, _batches
+from skein.llm.decontaminate import _ODD, Hasher, Probe, _batches
 from skein.session import reliable
 
-#: Documents of each sample the classifier is fitted on, and words it may weigh.
+#: Documents of each sample the classifier is fitted on, and words and stems it may weigh.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4_000, 12_000, 512
 #: A word is weighed if the shares of documents with it lie this many standard errors apart.
 MIN_Z = 5.0
 #: Share of toxic documents where the labels do not tell (no document labelled as not toxic).
 PRIOR = 0.1
+#: Bytes of the stems that are weighed besides whole words; only longer words have them.
+STEMS = (5, 6, 7)
 STEPS, RATE, DECAY, CLIMB = 600, 0.05, 1e-3, 1.0
 THRESHOLD = 0.3
 
@@ -36,7 +40,7 @@ THRESHOLD = 0.3
 @dataclass(frozen=True)
 class Model:
     words: np.ndarray  # sorted hashes
-    weights: np.ndarray  # one for each word, then length, then bias
+    weights: np.ndarray  # one for each word, one for each that comes again, then length, then bias
 
 
 def _risk_steps(pos: np.ndarray, every: np.ndarray, prior: float, steps: int = STEPS) -> np.ndarray:
@@ -61,17 +65,33 @@ def _risk_steps(pos: np.ndarray, every: np.ndarray, prior: float, steps: int = S
 
 
 def _design(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    return np.hstack([np.log1p(counts), np.log1p(n_words)[:, None] / 5])
+    return np.hstack([np.log1p(counts), counts > 1, np.log1p(n_words)[:, None] / 5])
+
+
+def features(data: bytes, hashed: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of its word) of all words and of the stems of longer ones."""
+    data, found, words = np.frombuffer(data, np.uint8), [hashed], [np.arange(len(hashed))]
+    for n in STEMS:
+        longer = np.flatnonzero(end - start > n)
+        stem = np.full(len(longer), n, np.uint64)
+        for j in range(n):
+            stem = (stem << np.uint64(8)) | data[start[longer] + j]
+        for shift in (32, 29):
+            stem = (stem ^ (stem >> np.uint64(shift))) * _ODD
+        found.append(stem ^ (stem >> np.uint64(32)))
+        words.append(longer)
+    return np.concatenate(found), np.concatenate(words)
 
 
 def _counts(texts: list[bytes], hasher: Hasher, probe: Probe | None, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often each word of the model occurs in each text, and the words of each text."""
+    """How often each feature of the model occurs in each text, and the words of each text."""
     counts, n_words = np.zeros((len(texts), width)), np.zeros(len(texts), np.int64)
-    for lo, hi, _, hashed, _, _, first in _batches(texts, hasher):
+    for lo, hi, *words, first in _batches(texts, hasher):
         n_words[lo:hi] = np.diff(first)
         if probe is not None:
-            at, k = probe(hashed)
-            np.add.at(counts, (lo + np.searchsorted(first, at, "right") - 1, k), 1)
+            found, word = features(*words)
+            at, k = probe(found)
+            np.add.at(counts, (lo + np.searchsorted(first, word[at], "right") - 1, k), 1)
     return counts, n_words
 
 
@@ -105,17 +125,21 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
         hasher = Hasher()
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            for lo, hi, _, hashed, _, _, first in _batches(texts, hasher):
+            for lo, hi, *words, first in _batches(texts, hasher):
+                found, word = features(*words)
+                order = np.argsort(word, kind="stable")
+                found, bounds = found[order].view(np.int64), np.searchsorted(word[order], first)
                 for i in range(lo, hi):
-                    some, n = np.unique(hashed[first[i - lo] : first[i - lo + 1]].view(np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("positive").slice(i, 1), pa.array([some]), pa.array([n])], ["positive", "words", "n"]
-                    )
+                    some, n = np.unique(found[bounds[i - lo] : bounds[i - lo + 1]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("positive").slice(i, 1), pa.array([some]), pa.array([n.astype(np.int32)]),
+                        pa.array([int(first[i - lo + 1] - first[i - lo])]),
+                    ], ["positive", "words", "n", "n_words"])
 
     # at most max_positive + max_unlabelled ids
     sampled = reliable(
         small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .mapInArrow(words, "positive boolean, words array<bigint>, n array<bigint>", barrier=False)
+        .mapInArrow(words, "positive boolean, words array<bigint>, n array<int>, n_words bigint", barrier=False)
     )
     sizes = {r[0]: r[1] for r in sampled.groupBy("positive").count().collect()}
     n_pos, n_all = sizes.get(True, 0), sizes.get(False, 0)
@@ -134,13 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for positive, w, n in zip(*[c.to_pylist() for c in batch.columns]):
+            for positive, w, n, n_words in zip(*[c.to_pylist() for c in batch.columns]):
                 w, n = np.array(w, np.int64).view(np.uint64), np.array(n, np.int64)
                 out = np.zeros(len(known), np.int64)
                 _, i, j = np.intersect1d(known, w, assume_unique=True, return_indices=True)
                 out[i] = n[j]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([positive]), pa.array([out], pa.list_(pa.int64())), pa.array([int(n.sum())])], ["positive", "counts", "n_words"]
+                    [pa.array([positive]), pa.array([out], pa.list_(pa.int64())), pa.array([n_words])], ["positive", "counts", "n_words"]
                 )
 
     got = sampled.mapInArrow(rows, "positive boolean, counts array<bigint>, n_words bigint").toPandas()

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -81,6 +81,20 @@ def test_risk_climbs_back_where_positives_are_overfitted():
     assert np.isfinite(w).all() and p.mean() > g.mean()
 
 
+def test_stems_belong_to_longer_words():
+    data = b"abcde abcdef xabcdefgh abcdefz abcdefgh"
+    hashed, start, end = decontaminate.Hasher()(data)
+    found, word = toxicity.features(data, hashed, start, end)
+    words = data.split()
+    want = Counter((i, w[:n]) for i, w in enumerate(words) for n in toxicity.STEMS if len(w) > n)
+    assert len(found) == len(words) + sum(want.values())
+    groups = defaultdict(set)
+    for h, i, key in zip(found[len(words):].tolist(), word[len(words):].tolist(), [w[:n] for n in toxicity.STEMS for w in words if len(w) > n]):
+        assert words[i].startswith(key)
+        groups[key].add(h)
+    assert all(len(h) == 1 for h in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (4, 1), (5, 0), (None, 1), (6, None)], "doc_id bigint, toxic int")
     model = toxicity.fit(odd, labels)
