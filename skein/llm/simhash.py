@@ -3,9 +3,11 @@
 Two fingerprints that differ in at most 3 of 64 bits differ in at most 1 bit in one of their halves.
 Each half has a vantage-point tree of its own: a node splits by the Hamming distance to a vantage
 point, and a ball of radius 1 enters a branch only where the triangle inequality leaves room. The
-upper levels, learnt from a bounded sample, deal all fingerprints to shards; a fingerprint is stored
-in its own shard and sent as a query to later shards that its ball overlaps. In a shard the tree is
-carried on down to small leaves, where the whole 64 bits decide.
+upper levels, learnt from a bounded sample, deal all fingerprints to shards. A leaf of theirs that
+holds too many is split further, at vantage points that follow from the place in the tree, so that
+shards stay small while the tree that is broadcast does not grow. A fingerprint is stored in its own
+shard and sent as a query to later shards that its ball overlaps. In a shard the tree is carried on
+down to small leaves, where the whole 64 bits decide.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from skein.llm.common import LOWER_ASCII, as_bytes, fresh, quoted, small_batches
+from skein.llm.common import LOWER_ASCII, as_bytes, drawn, fresh, quoted, small_batches
 from skein.llm.components import components
 from skein.session import reliable
 
@@ -28,6 +30,10 @@ PARTS, PART_BITS = 2, 32
 SHARD_ROWS, VANTAGE_SAMPLE, TASK_ROWS = 8_192, 20_000, 16_384
 LEAF_PAIRS = 1 << 16
 BLOCK_PAIRS = 1 << 20
+#: Distance that about halves halves around a vantage point drawn at random.
+MIDDLE = PART_BITS // 2
+#: Bits of a shard's number for its place below the leaf of the upper levels.
+_BELOW = 40
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -118,6 +124,31 @@ def visits(tree, halves: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndar
         stack.append((node[3], at[far], (own & (d > node[1]))[far]))
 
 
+def _vantage(leaf: int, node: np.ndarray) -> np.ndarray:
+    """The vantage point of each node below a leaf: bits mixed from its place."""
+    x = (node.astype(np.uint64) + np.uint64(leaf << _BELOW)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def places(tree, deeper: dict[int, int], halves: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, shard, whether the shard is its own) for all shards that the balls overlap.
+
+    ``deeper`` has the levels by which a leaf of ``tree`` is split on; all its nodes of a level are
+    gone through at once.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for leaf, at, own in visits(tree, halves, radius):
+        node = np.ones(len(at), np.int64)
+        for _ in range(deeper.get(leaf, 0)):
+            d = np.bitwise_count(halves[at] ^ _vantage(leaf, node)).astype(np.int16)
+            near, far = d - radius <= MIDDLE, d + radius > MIDDLE
+            own = np.concatenate([(own & (d <= MIDDLE))[near], (own & (d > MIDDLE))[far]])
+            at, node = np.concatenate([at[near], at[far]]), np.concatenate([2 * node[near], 2 * node[far] + 1])
+        found.append((at, node + (leaf << _BELOW), own))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Roots:
     """Smallest member of each set, merged by arrays of pairs."""
 
@@ -146,21 +177,27 @@ def link_shard(stored: np.ndarray, asked: np.ndarray, part: int, max_bits: int =
     links inside a set already connected are not repeated.
     """
     values = np.concatenate([stored, asked])
-    halves = half(values, part)
+    halves, others = half(values, part), half(values, 1 - part)
     roots = Roots(len(values))
     radius = max_bits // PARTS
-    stack = [(np.arange(len(stored)), np.arange(len(values)))]
+    stack = [(np.arange(len(stored)), np.arange(len(values)), False)]
     while stack:
-        data, query = stack.pop()
+        data, query, equal = stack.pop()
         if not len(data) or not len(query):
             continue
-        found = _split(halves[data]) if len(data) * len(query) > LEAF_PAIRS else None
-        if found is not None:
-            v, cut = found
-            d, q = (np.bitwise_count(halves[x] ^ v).astype(np.int16) for x in (data, query))
-            stack.append((data[d <= cut], query[q - radius <= cut]))
-            stack.append((data[d > cut], query[q + radius > cut]))
-            continue
+        if len(data) * len(query) > LEAF_PAIRS:
+            points, reach = (others, max_bits) if equal else (halves, radius)
+            found = _split(points[data])
+            if found is not None:
+                v, cut = found
+                d, q = (np.bitwise_count(points[x] ^ v).astype(np.int16) for x in (data, query))
+                stack.append((data[d <= cut], query[q - reach <= cut], equal))
+                stack.append((data[d > cut], query[q + reach > cut], equal))
+                continue
+            if not equal:  # all halves agree, the other halves go on
+                near = np.bitwise_count(halves[query] ^ halves[data[0]]) <= radius
+                stack.append((data, query[near], True))
+                continue
         rows = max(1, BLOCK_PAIRS // len(query))
         for i in range(0, len(data), rows):
             near = np.bitwise_count(values[data[i : i + rows], None] ^ values[None, query]) <= max_bits
@@ -173,53 +210,66 @@ def link_shard(stored: np.ndarray, asked: np.ndarray, part: int, max_bits: int =
 def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS, sample: int = VANTAGE_SAMPLE, task_rows: int = TASK_ROWS) -> DataFrame:
     """(a, b): links that connect all distinct values of column ``fp`` within ``max_bits`` bits.
 
-    ``fingerprints`` has to be fixed (checkpointed), it is read several times. Only the trees, grown
-    from at most ``sample`` values, and the row count of each shard pass through the driver.
+    ``fingerprints`` has to be fixed (checkpointed), it is read several times. Of it the driver gets
+    at most ``sample`` values, the row count of each leaf of the trees over them, and that of each
+    shard above ``task_rows``, which is one whose halves hardly differ.
     """
     spark = fingerprints.sparkSession
     total = fingerprints.count()
     shards = min(-(-total // shard_rows), max(sample // 16, 1))
-    learnt = fingerprints.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    learnt = drawn(fingerprints, F.xxhash64("fp"), sample, total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     radius = max_bits // PARTS
     trees = spark.sparkContext.broadcast([grow(half(learnt, p), shards) for p in range(PARTS)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            out = [
-                (p, leaf, int(own.sum()))
-                for p, tree in enumerate(trees.value)
-                for leaf, _, own in visits(tree, half(values, p), 0)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 3, ["part", "leaf", "n"])
-
-    counts = fingerprints.select("fp").mapInArrow(count, "part bigint, leaf bigint, n bigint").groupBy("part", "leaf").agg(F.sum("n").alias("n")).collect()
-    split = spark.sparkContext.broadcast({(r["part"], r["leaf"]): -(-r["n"] // task_rows) for r in counts if r["n"] > task_rows})
+    def crowded(deeper: list[dict[int, int]]) -> list:
+        """(part, shard, rows) of shards above ``task_rows``."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for p, tree in enumerate(trees.value):
+                    shard, n = np.unique(places(tree, deeper[p], half(values, p), 0)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), p)), pa.array(shard), pa.array(n)], ["part", "shard", "n"])
+
+        rows = fingerprints.select("fp").mapInArrow(count, "part bigint, shard bigint, n bigint")
+        return rows.groupBy("part", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > task_rows).collect()
+
+    deeper: list[dict[int, int]] = [{} for _ in range(PARTS)]
+    large = crowded(deeper)
+    for r in large:
+        deeper[r["part"]][r["shard"] >> _BELOW] = max(1, (-(-r["n"] // shard_rows) - 1).bit_length())
+    if large:
+        large = crowded(deeper)
+    split = spark.sparkContext.broadcast([
+        (np.array([k for k, _ in some], np.int64), np.array([n for _, n in some], np.int64))
+        for some in (sorted((r["shard"], -(-r["n"] // task_rows)) for r in large if r["part"] == p) for p in range(PARTS))
+    ])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "leaf", "chunk", "fp", "own"]
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for p, tree in enumerate(trees.value):
+                at, shard, own = places(tree, deeper[p], half(values, p), radius)
                 home = np.zeros(len(values), np.int64)
-                found = list(visits(tree, half(values, p), radius))
-                for leaf, at, own in found:
-                    home[at[own]] = leaf
-                for leaf, at, own in found:
-                    keep = home[at] <= leaf
-                    at, own = at[keep], own[keep]
-                    chunks = split.value.get((p, leaf), 1)
-                    first = np.zeros(len(at), np.int64)
-                    if chunks > 1:  # the low bits alone would leave equal halves together
-                        first[own] = (values[at[own]] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(chunks)
-                    for chunk in range(chunks):
-                        here = first <= chunk
-                        sent, mine = at[here], own[here] & (first[here] == chunk)
-                        if len(sent):
-                            yield pa.RecordBatch.from_arrays([
-                                pa.array(np.full(len(sent), p), pa.int32()), pa.array(np.full(len(sent), leaf), pa.int32()),
-                                pa.array(np.full(len(sent), chunk), pa.int32()), pa.array(_signed(values[sent]), pa.int64()), pa.array(mine, pa.bool_()),
-                            ], names)
+                home[at[own]] = shard[own]
+                keep = home[at] <= shard
+                at, shard, own = at[keep], shard[keep], own[keep]
+                keys, many = split.value[p]
+                chunks, first = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+                if len(keys):
+                    k = np.minimum(np.searchsorted(keys, shard), len(keys) - 1)
+                    chunks = np.where(keys[k] == shard, many[k], 1)
+                    # the low bits alone would leave equal halves together
+                    mixed = values[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                    first = np.where(own, (mixed % chunks.astype(np.uint64)).astype(np.int64), 0)
+                # a fingerprint is stored in one chunk of its shard, and sent as a query to all later ones
+                copies = chunks - first
+                row = np.repeat(np.arange(len(at)), copies)
+                chunk = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies) + first[row]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(row), p, np.int32)), pa.array(shard[row]), pa.array(chunk), pa.array(_signed(values[at[row]])),
+                    pa.array(own[row] & (chunk == first[row])),
+                ], ["part", "shard", "chunk", "fp", "own"])
 
     def join(shard: pa.Table) -> pa.Table:
         values = shard.column("fp").to_numpy().view(np.uint64)
@@ -227,8 +277,8 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = S
         a, b = link_shard(values[own], values[~own], int(shard.column("part")[0].as_py()), max_bits)
         return pa.table({"a": pa.array(_signed(a), pa.int64()), "b": pa.array(_signed(b), pa.int64())})
 
-    dealt = fingerprints.select("fp").mapInArrow(deal, "part int, leaf int, chunk int, fp bigint, own boolean")
-    return dealt.groupBy("part", "leaf", "chunk").applyInArrow(join, "a bigint, b bigint")
+    dealt = fingerprints.select("fp").mapInArrow(deal, "part int, shard bigint, chunk bigint, fp bigint, own boolean")
+    return dealt.groupBy("part", "shard", "chunk").applyInArrow(join, "a bigint, b bigint")
 
 
 # ------------------------------------------------------------------ classes of documents

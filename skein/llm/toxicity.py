@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skein.llm.common import as_bytes, held_out, quoted, small_batches
+from skein.llm.common import as_bytes, drawn, held_out, quoted, small_batches
 from skein.llm.decontaminate import _ODD, Hasher, Probe, _batches
 from skein.session import reliable
 
@@ -98,10 +98,11 @@ def _counts(texts: list[bytes], hasher: Hasher, probe: Probe | None, width: int)
 def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> DataFrame:
     """(doc_id, positive) of both samples, by the hash of the id; held-out documents are in neither."""
     toxic = labels.where(~held_out("doc_id") & (F.col("toxic") == 1)).select("doc_id").distinct()
-    ids = docs.where(~held_out("doc_id")).select("doc_id").distinct()
-    deal = F.xxhash64("doc_id"), F.col("doc_id")
-    pos = ids.join(toxic, "doc_id", "left_semi").orderBy(*deal).limit(max_positive)
-    every = ids.where(F.col("doc_id").isNotNull()).orderBy(*deal).limit(max_unlabelled)
+    ids = reliable(docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    confirmed = reliable(ids.join(toxic, "doc_id", "left_semi"))
+    deal = F.xxhash64("doc_id")
+    pos = drawn(confirmed, deal, max_positive, confirmed.count())
+    every = drawn(ids, deal, max_unlabelled, ids.count())
     return pos.withColumn("positive", F.lit(True)).unionByName(every.withColumn("positive", F.lit(False)))
 
 

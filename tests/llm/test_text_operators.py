@@ -16,7 +16,7 @@ from check import connect, differences
 from skein.llm import (
     decontaminate, language_id, line_dedup, mixing, revisits, secrets, simhash, span_dedup, topk, toxicity,
 )
-from skein.llm.common import table
+from skein.llm.common import drawn, table
 from skein.llm.components import components
 from skein.llm.queries import ORACLES, QUERIES
 
@@ -241,9 +241,12 @@ def test_near_duplicates_match_brute_force(spark, folder, corpus):
     assert got == brute_classes([(i, t) for i, t, _, _ in corpus])
 
 
-@pytest.mark.parametrize("shard_rows,task_rows", [(8192, 16384), (20, 10)])
-def test_links_connect_what_is_near(spark, shard_rows, task_rows):
-    """Dense clusters, chains and equal halves, with whole and with split shards."""
+@pytest.mark.parametrize("shard_rows,task_rows,sample,leaf_pairs", [
+    (8192, 16384, 20_000, 1 << 16), (20, 10, 20_000, 1 << 16), (10, 20, 64, 16), (5, 5, 1, 1),
+])
+def test_links_connect_what_is_near(spark, monkeypatch, shard_rows, task_rows, sample, leaf_pairs):
+    """Dense clusters, chains and equal halves, with whole and split shards, trees deeper than their sample and tiny leaves."""
+    monkeypatch.setattr(simhash, "LEAF_PAIRS", leaf_pairs)
     rng = random.Random(5)
     values = {rng.getrandbits(64) for _ in range(300)}
     for base in list(values)[:20]:
@@ -259,13 +262,40 @@ def test_links_connect_what_is_near(spark, shard_rows, task_rows):
         want = new
     signed = fp.view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp bigint").repartition(3)
-    roots = dict(components(simhash.links(df, shard_rows=shard_rows, task_rows=task_rows)).collect())
+    roots = dict(components(simhash.links(df, shard_rows=shard_rows, task_rows=task_rows, sample=sample)).collect())
     groups = {}
     for i, x in enumerate(signed):
         groups.setdefault(roots.get(x, x), set()).add(want[i])
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.tolist()))
 
 
+def test_trees_go_on_below_their_sample():
+    """Every fingerprint has one shard of its own, shards shrink with depth, and near halves are met."""
+    rng = np.random.default_rng(3)
+    halves = rng.integers(0, 2**32, 20_000, dtype=np.uint32)
+    tree = simhash.grow(halves[:64], 4)
+    leaves = [leaf for leaf, _, _ in simhash.visits(tree, halves, 0)]
+    deeper = {leaf: 5 for leaf in leaves[1:]}
+    at, shard, own = simhash.places(tree, deeper, halves, 0)
+    assert own.all() and sorted(at.tolist()) == list(range(len(halves)))
+    home = dict(zip(at.tolist(), shard.tolist()))
+    sizes = Counter(s for s in home.values() if s >> simhash._BELOW != leaves[0])
+    assert len(sizes) == 32 * len(deeper) and max(sizes.values()) < 1000
+    moved = halves ^ (np.uint32(1) << rng.integers(0, 32, len(halves), dtype=np.uint32))
+    at, shard, own = simhash.places(tree, deeper, moved, 1)
+    assert np.bincount(at[own], minlength=len(halves)).tolist() == [1] * len(halves)
+    met = set(zip(at.tolist(), shard.tolist()))
+    assert all(x in met for x in home.items())
+
+
+def test_draw_is_the_smallest_hashes(spark):
+    rows = spark.range(5_000).withColumnRenamed("id", "x")
+    deal = F.xxhash64("x")
+    want = [r.x for r in rows.orderBy(deal, "x").limit(50).collect()]
+    assert [r.x for r in drawn(rows, deal, 50, 5_000).collect()] == want
+    assert drawn(rows, deal, 10_000, 5_000).count() == 5_000 and drawn(rows.limit(0), deal, 5, 0).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
