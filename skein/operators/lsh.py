@@ -61,15 +61,20 @@ def draw_functions(n: int, seed: int, width: float = WIDTH) -> list[HashFunction
     ]
 
 
-def fit(functions: Sequence[HashFunction], segments: DataFrame) -> list[HashFunction]:
-    """Set offset and bucket count from the range of the projected centroids (one small row)."""
+def _ranges(functions: Sequence[HashFunction], segments: DataFrame) -> list[tuple[float, float]]:
+    """Least and largest projected centroid of each function (one small row); 0 without segments."""
     aggs = []
     for i, f in enumerate(functions):
         aggs += [F.min(f.projection(C)).alias(f"l{i}"), F.max(f.projection(C)).alias(f"h{i}")]
     row = segments.agg(*aggs).first()
+    return [(row[f"l{i}"] or 0.0, row[f"h{i}"] or 0.0) for i in range(len(functions))]
+
+
+def fit(functions: Sequence[HashFunction], segments: DataFrame) -> list[HashFunction]:
+    """Set offset and bucket count from the range of the projected centroids."""
     return [
-        replace(f, offset=row[f"l{i}"], n_buckets=int(row[f"h{i}"] - row[f"l{i}"] + 1))
-        for i, f in enumerate(functions)
+        replace(f, offset=low, n_buckets=int(high - low + 1))
+        for f, (low, high) in zip(functions, _ranges(functions, segments))
     ]
 
 
@@ -78,11 +83,9 @@ def fit_buckets(
 ) -> list[HashFunction]:
     """Set the width so that the projected centroids fill ``n_buckets`` equal buckets."""
     out = []
-    for f, g in zip(functions, fit(functions, segments)):
-        unit = replace(f, w=1.0)
-        row = segments.agg(F.min(unit.projection(C)), F.max(unit.projection(C))).first()
-        step = (row[1] - row[0]) / n_buckets or 1.0
-        out.append(replace(f, w=step, offset=row[0] / step, n_buckets=n_buckets))
+    for f, (low, high) in zip(functions, _ranges([replace(f, w=1.0) for f in functions], segments)):
+        step = (high - low) / n_buckets or 1.0
+        out.append(replace(f, w=step, offset=low / step, n_buckets=n_buckets))
     return out
 
 
@@ -340,6 +343,22 @@ def vertex_edges(
 # ------------------------------------------------------------------ multi-probe search
 
 
+def _near_buckets(asked: DataFrame, held: DataFrame, codes: Sequence[str], m: int) -> DataFrame:
+    """Pairs of an asked bucket (codes named q...) and a held one whose codes all differ by at most ``m``.
+
+    Buckets meet in cells of side 2m + 1, of which an asked one touches at most two along each code.
+    ``gap`` is the largest difference of a pair.
+    """
+    side = F.lit(2 * m + 1)
+    cells = [f"_c{c}" for c in codes]
+    for c, cell in zip(codes, cells):
+        low, high = (F.floor((F.col(f"q{c}") + d) / side) for d in (-m, m))
+        asked = asked.withColumn(cell, F.explode(F.sequence(low, high)))
+    held = held.withColumns({cell: F.floor(F.col(c) / side) for c, cell in zip(codes, cells)})
+    gaps = F.array_max(F.array(*[F.abs(F.col(c) - F.col(f"q{c}")) for c in codes]))
+    return asked.join(held, cells).withColumn("gap", gaps).where(F.col("gap") <= m).drop(*cells)
+
+
 def multi_probe(
     functions: Sequence[HashFunction],
     points: DataFrame,
@@ -352,49 +371,41 @@ def multi_probe(
     """Nearest segment per line from the buckets around a point, widened until ``k`` lines are met.
 
     A bucket is the tuple of all hash codes; the probe of reach m holds the buckets whose codes all
-    differ by at most m. How far to reach is settled between buckets, not points: for each bucket
-    that holds points, the lines found in its probes are counted, and only buckets with fewer than
-    ``k`` other lines go on. Points then meet the segments of their probe.
+    differ by at most m. How far to reach is settled between buckets, not points: lines are counted
+    by their gap to each bucket that holds points, and the reach is the gap at which there are
+    ``k`` other lines. The gap looked at doubles for buckets that lack lines, up to ``max_reach``.
+    Points then meet only buckets of their probe that hold segments.
     """
     codes = [f"_h{i}" for i in range(len(functions))]
-    reach_limit = max_reach or max(f.n_buckets for f in functions)
+    q = [f"q{c}" for c in codes]
+    limit = max_reach if max_reach is not None else max(f.n_buckets for f in functions)
 
-    def coded(df: DataFrame, v: Vec3) -> DataFrame:
-        return df.withColumns({c: f(v) for c, f in zip(codes, functions)})
+    def coded(df: DataFrame, v: Vec3, names: Sequence[str]) -> DataFrame:
+        return df.withColumns({c: f(v) for c, f in zip(names, functions)})
 
-    filed = coded(segments, C)
-    held = filed.select(*codes, "line_id").distinct()
-    asked = coded(points.select(*key, "x", "y", "z"), P)
-    todo = asked.select(*codes).distinct()
+    filed = coded(segments, C, codes)
+    held = reliable(filed.select(*codes, "line_id").distinct())
+    asked = coded(points.select(*key, "x", "y", "z"), P, q)
+    todo = reliable(asked.select(*q).distinct())
     enough = k + 1 if own else k
-    settled = None
-    for m in range(reach_limit + 1):
-        spread = todo.select(*[F.col(c).alias(f"q{c}") for c in codes])
-        for c in codes:
-            spread = spread.withColumn(
-                c, F.explode(F.sequence(F.col(f"q{c}") - m, F.col(f"q{c}") + m))
-            )
-        met = (
-            spread.join(held, codes)
-            .groupBy(*[f"q{c}" for c in codes])
-            .agg(F.count_distinct("line_id").alias("lines"))
-            .where(F.col("lines") >= enough)
-            .select(*[F.col(f"q{c}").alias(c) for c in codes], F.lit(m).alias("reach"))
-        )
-        if m == reach_limit:
-            met = todo.withColumn("reach", F.lit(m))
+    upto = Window.partitionBy(*q).orderBy("gap")
+    matches, m = None, min(1, limit)
+    while True:
+        lines = _near_buckets(todo, held, codes, m).groupBy(*q, "line_id").agg(F.min("gap").alias("gap"))
+        lines = lines.groupBy(*q, "gap").count().withColumn("lines", F.sum("count").over(upto))
+        met = lines.where(F.col("lines") >= enough).groupBy(*q).agg(F.min("gap").alias("reach"))
+        if m >= limit:
+            met = todo.join(met, q, "left").withColumn("reach", F.coalesce("reach", F.lit(limit)))
         met = reliable(met)
-        settled = met if settled is None else settled.unionByName(met)
-        if m == reach_limit:
+        near = _near_buckets(met, held.select(*codes).distinct(), codes, m).where("gap <= reach").drop("gap")
+        matches = near if matches is None else matches.unionByName(near)
+        if m >= limit:
             break
-        todo = reliable(todo.join(met, codes, "left_anti"))
+        todo = reliable(todo.join(met, q, "left_anti"))
         if todo.isEmpty():
             break
-    probes = asked.join(settled, codes)
-    for c in codes:
-        probes = probes.withColumn(
-            c, F.explode(F.sequence(F.col(c) - F.col("reach"), F.col(c) + F.col("reach")))
-        )
+        m = min(2 * m, limit)
+    probes = salted_join(asked, matches, q, spread=key).drop(*q)
     targets = filed.select(
         F.col("line_id").alias("nbr_line"), "beg", "end_", *C.named("nx", "ny", "nz"), *codes
     )
@@ -409,6 +420,19 @@ def multi_probe(
     )
 
 
+def probe_vertices(
+    found: DataFrame, points: DataFrame, segments: DataFrame, key: Sequence[str] = QUERY_KEY
+) -> DataFrame:
+    """Segments found by ``multi_probe``, refined to the vertex nearest by projection."""
+    place = points.select(*key, "x", "y", "z")
+    dirs = segments.select(F.col("line_id").alias("nbr_line"), "beg", "end_", "dx", "dy", "dz")
+    pairs = found.select(*key, "nbr_line", "beg", "end_").join(place, list(key)).join(
+        dirs, ["nbr_line", "beg", "end_"]
+    )
+    refined = nearest_by_projection(pairs, points.select(*QUERY_KEY, "x", "y", "z"), segments, key)
+    return refined.select(*key, "nbr_line", "nbr_pt", F.sqrt("d2").alias("dist"))
+
+
 def ranked(found: DataFrame, key: Sequence[str] = QUERY_KEY) -> DataFrame:
     """Add the rank by distance from 1 within each query."""
     w = Window.partitionBy(*key).orderBy("dist", "nbr_line")
