@@ -1,9 +1,10 @@
 """Repeated passages by sliding runs of sentences.
 
-Every run of 2 consecutive sentences of at least ``MIN_WORDS`` words is hashed, and every run of 3 that
-has so many words though one of its runs of 2 has fewer; shorter runs are no passages. Runs that a
-longer one only repeats need no row of their own. All runs meet by hash; the first occurrence, by
-document id and position, stays, and sentences under any later one go.
+A passage is 2 sentences or more with at least ``MIN_WORDS`` words together, or one sentence of at
+least ``LONE_WORDS``. From every sentence the shortest such run is hashed, and up to every sentence the
+shortest one that ends there, however many sentences it takes; a longer passage is covered by these, and
+repeated where they all are. All runs meet by hash; the first occurrence, by document id and position,
+stays, and sentences under any later one go.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.llm.common import fresh, quoted, small_batches
 
-MIN_RUN, MAX_RUN, MIN_WORDS = 2, 3, 15
+MIN_RUN, MIN_WORDS, LONE_WORDS = 2, 15, 50
 _NO_ID = (1 << 63) - 1
 #: A sentence ends with its marks and the space after them, or with its line.
 _END = re.compile(r"[.!?]+\s+|\n\s*")
@@ -32,23 +33,28 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [x for x in out if x[0] < x[1]]
 
 
-def runs(text: str, min_run: int = MIN_RUN, max_run: int = MAX_RUN, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
+def runs(text: str, min_run: int = MIN_RUN, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> Iterator[tuple[bytes, int, int]]:
     """(hash, first sentence, last sentence exclusive) of each run."""
     bare = [text[a:b].strip() for a, b in sentences(text)]
     keys = [xxhash.xxh3_128_digest(s.encode("utf-8", "replace")) for s in bare]
     total = [0]
     for s in bare:
         total.append(total[-1] + len(s.split()))
-    for i in range(len(bare)):
-        for j in range(i + min_run, min(i + max_run, len(bare)) + 1):
-            if total[j] - total[i] < min_words:
-                continue
-            if j - i > min_run and total[j - 1] - total[i] >= min_words and total[j] - total[i + 1] >= min_words:
-                continue
+    i = shortest = 0
+    for j in range(1, len(bare) + 1):
+        if total[j] - total[j - 1] >= lone_words:
+            yield xxhash.xxh3_128_digest(keys[j - 1]), j - 1, j
+        # the shortest runs from the sentences for which j is the first end that is long enough
+        while i + min_run <= j and total[j] - total[i] >= min_words:
             yield xxhash.xxh3_128_digest(b"".join(keys[i:j])), i, j
+            i += 1
+            shortest = j
+        # the shortest run up to j, unless it was among them
+        if i and shortest < j:
+            yield xxhash.xxh3_128_digest(b"".join(keys[i - 1 : j])), i - 1, j
 
 
-def all_runs(docs: DataFrame, doc_id: str, text: str, min_run: int, max_run: int, min_words: int) -> DataFrame:
+def all_runs(docs: DataFrame, doc_id: str, text: str, min_run: int, min_words: int, lone_words: int) -> DataFrame:
     """(id, text_key, a, b, first, last): a row for each run of each document; a and b are its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +64,7 @@ def all_runs(docs: DataFrame, doc_id: str, text: str, min_run: int, max_run: int
             while lo < len(texts):
                 out: list[list] = [[] for _ in range(6)]
                 while lo < len(texts) and len(out[0]) < 1 << 16:
-                    for h, i, j in runs(texts[lo] or "", min_run, max_run, min_words):
+                    for h, i, j in runs(texts[lo] or "", min_run, min_words, lone_words):
                         for column, x in zip(out, (ids[lo], keys[lo], int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), i, j)):
                             column.append(x)
                     lo += 1
@@ -69,14 +75,14 @@ def all_runs(docs: DataFrame, doc_id: str, text: str, min_run: int, max_run: int
     return rows.mapInArrow(run, "id bigint, text_key bigint, a bigint, b bigint, first int, last int")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN, max_run: int = MAX_RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
     """(id, text_key, spans, first_ids): per document the runs that are not the first of their kind.
 
     First occurrences are minima combined before the shuffle; the join that brings them back to all
     occurrences is a plain equi-join, which adaptive execution splits where one passage is very
     frequent. A document's spans are no more than its runs.
     """
-    found = all_runs(docs, doc_id, text, min_run, max_run, min_words)
+    found = all_runs(docs, doc_id, text, min_run, min_words, lone_words)
     place = F.struct("id", "text_key", "first")
     first = (
         found.groupBy("a", "b")
