@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.llm.common import LOWER_ASCII, as_bytes, drawn, fresh, quoted, small_batches
 from skein.llm.components import components
@@ -284,6 +284,18 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = S
 # ------------------------------------------------------------------ classes of documents
 
 
+def _marked(docs: DataFrame, doc_id: str, text: str, size: int, *more: Column) -> DataFrame:
+    """(doc_id, fp) and ``more`` for every row of ``docs``, fixed in the checkpoint folder."""
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    return reliable(add_fingerprint(rows, "fp", "text", size).select("doc_id", "fp", *more))
+
+
+def _rooted(kinds: DataFrame, max_bits: int) -> DataFrame:
+    """``kinds``, a row per fingerprint, with the ``root`` that its class shares (null: a class of one)."""
+    roots = components(reliable(links(kinds, max_bits)))
+    return kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -292,29 +304,33 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     id). Copies share a fingerprint, so they meet as one; texts without words share fingerprint 0.
     Repeated rows all come back. An empty table gives an empty result. Other columns are not read.
     """
-    marked = reliable(add_fingerprint(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), "fp", "text", size).drop("text"))
-    kinds = reliable(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = reliable(links(kinds, max_bits))
-    roots = components(joined)
-    known = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    marked = _marked(docs, doc_id, text, size)
+    known = _rooted(reliable(marked.groupBy("fp").agg(F.min("doc_id").alias("first"))), max_bits)
     least = known.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("least"))
     known = known.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One document of each class: the one whose id is its class.
+    """One document of each class: the one with the smallest id, null last, then of the smallest hash of its text.
 
-    Of repeated rows with that id the one with the smallest hash of its text stays. Documents of a
-    class without any id are told apart by nothing; one of them stays.
+    Classes are told apart by their root fingerprint, so documents without an id and different texts
+    of one id each count in the class of their own text. Rows that agree in id and text are one
+    document; one of them stays. Minima are combined before the shuffle.
     """
-    key, n = fresh(docs, "class_key", "class_row")
-    kept = classes(docs, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
-    kept = reliable(kept.withColumnRenamed("doc_id", key))
-    whole = docs.join(kept, quoted(doc_id).eqNullSafe(F.col(key)), "inner")
+    key, own_text, n, row = fresh(docs, "class_key", "class_text", "class_rows", "class_row")
+    text_key = F.coalesce(F.md5("text"), F.lit(""))
+    marked = _marked(docs, doc_id, "text", SHINGLE, text_key.alias("text_key"))
+    same = marked.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n")
+    known = _rooted(reliable(same.groupBy("fp").agg(F.min(best).alias("best"))), MAX_BITS)
+    # a root is a fingerprint of its class, so classes of one may stand under their own
+    kept = known.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    kept = reliable(kept.select(F.col("best.doc_id").alias(key), F.col("best.text_key").alias(own_text), F.col("best.n").alias(n)))
+    whole = docs.join(kept, quoted(doc_id).eqNullSafe(F.col(key)) & (text_key == F.col(own_text)), "inner")
     columns = [quoted(c) for c in docs.columns]
     out = whole.where(F.col(n) == 1).select(*columns)
     if kept.where(F.col(n) > 1).isEmpty():
         return out
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"), "text"))
-    return out.unionByName(whole.where(F.col(n) > 1).withColumn(n, rank).where(F.col(n) == 1).select(*columns))
+    one = whole.where(F.col(n) > 1).groupBy(key, own_text).agg(F.first(F.struct(*columns)).alias(row))
+    return out.unionByName(one.select(f"{row}.*"))
