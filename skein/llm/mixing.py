@@ -6,6 +6,7 @@ import heapq
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,13 +20,19 @@ BLOCK_TOKENS = 16
 SHARD_TOKENS, MAX_SHARDS = 1 << 20, 20_000
 #: Sources are names that a person weighs; a column with more values than this is no source.
 MAX_SOURCES = 100_000
-_STRIDE = 2654435761  # prime, larger than the blocks of any shard
+_STRIDE = 2654435761  # prime
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _strided(i: Column, total: Column) -> Column:
+    """i * _STRIDE modulo ``total``, by 20 bits of ``i`` at a time, so that up to 2^42 blocks nothing overflows."""
+    high = F.pmod(F.shiftright(i, 20) * F.lit(_STRIDE), total)
+    return F.pmod(high * F.lit(1 << 20) + i.bitwiseAND(F.lit((1 << 20) - 1)) * F.lit(_STRIDE), total)
+
+
 def fill(sizes: Sequence[int], weights: Sequence[int], most: int = MAX_EPOCHS) -> list[float]:
     """Shares of the total size by weight, none above ``most`` times its size, the excess reshared."""
     full: set[int] = set()
@@ -91,10 +98,11 @@ def take(
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share as many tokens as
     there are. A source's target (``fill``) becomes blocks of ``block_tokens`` tokens by highest
-    quotients among sources, then among the shards of a source. A shard lays its documents end to
-    end in seeded order and cuts them into blocks; its quota is whole passes over all of them and a
-    seeded choice of blocks for the rest, never more than 3 passes. A hot source has more shards,
-    not larger ones.
+    quotients among sources. A source lays its documents end to end in seeded order and cuts them
+    into blocks; its quota is whole passes over all of them and a seeded choice of blocks for the
+    rest, never more than 3 passes. Shards are ranges of that order, each laid from the end of those
+    before it, so ``shard_tokens`` changes nothing but the tasks; a hot source has more shards, not
+    larger ones.
 
     Adds, under ``names``: the source's size and target, the tokens taken of the document (repeats
     counted), the passes over all its words, and the runs of words (first, last exclusive) taken once
@@ -104,8 +112,8 @@ def take(
     times. Other columns pass through.
     """
     spark = docs.sparkSession
-    src, n, n_shards, shard, quota, tokens, salt, start, epochs, rest, total = fresh(
-        docs.select("*", *[F.lit(0).alias(x) for x in names]), "src", "src_n", "n_shards", "shard", "quota", "shard_tokens", "salt", "shard_start", "shard_epochs", "shard_rest", "shard_blocks"
+    src, n_shards, quota, shard_src, held_shard, shard, before, start, epochs, rest, total = fresh(
+        docs.select("*", *[F.lit(0).alias(x) for x in names]), "src", "n_shards", "quota", "shard_src", "held_shard", "shard", "shard_before", "start", "passes", "rest", "total_blocks"
     )
     found = docs.groupBy(quoted(source).alias("s")).agg(F.sum(size).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -113,41 +121,41 @@ def take(
     found.sort(key=lambda r: (r.s is None, (r.s or "").encode("utf-8", "surrogatepass")))
     sizes = [r.n or 0 for r in found]
     targets = fill(sizes, [weights[i % len(weights)] for i in range(len(found))])
+    seats = apportion(targets, math.floor(sum(sizes) / block_tokens + 0.5))
     per_shard = max(shard_tokens, -(-sum(sizes) // MAX_SHARDS))
     kinds = spark.createDataFrame(
-        [(r.s, s, t, max(1, -(-s // per_shard))) for r, s, t in zip(found, sizes, targets)],
-        f"s string, n bigint, t double, shards bigint",
-    ).select(F.col("s").alias(src), F.col("n").alias(names[0]), F.col("t").alias(names[1]), F.col("shards").alias(n_shards))
+        [(r.s, s, t, min(b * block_tokens, s * MAX_EPOCHS), max(1, -(-s // per_shard))) for r, s, t, b in zip(found, sizes, targets, seats)],
+        "s string, n bigint, t double, q bigint, shards bigint",
+    ).select(F.col("s").alias(src), F.col("n").alias(names[0]), F.col("t").alias(names[1]), F.col("q").alias(quota), F.col("shards").alias(n_shards))
+    # the first 32 bits of the text that the order goes by, so shards are ranges of the order
     dealt = docs.join(F.broadcast(kinds), quoted(source).eqNullSafe(F.col(src)), "left").withColumn(
-        shard, F.pmod(seed.number(quoted(doc_id), "shard"), F.col(n_shards))
+        shard, F.shiftright(seed.number(quoted(doc_id), "order") * F.col(n_shards), 32)
     )
 
     held: dict = {}
     for r in dealt.groupBy(quoted(source).alias("s"), F.col(shard).alias("k")).agg(F.sum(size).alias("n")).collect():
         held.setdefault(r.s, []).append((r.k, r.n or 0))
-    seats = apportion(targets, math.floor(sum(sizes) / block_tokens + 0.5))
     rows = []
-    for r, q in zip(found, seats):
-        mine = sorted(held[r.s])
-        rows += [(r.s, k, m, b * block_tokens) for (k, m), b in zip(mine, apportion([m for _, m in mine], q))]
-    quotas = spark.createDataFrame(rows, "s string, k bigint, m bigint, q bigint").select(
-        F.col("s").alias(src), F.col("k").alias(shard), F.col("m").alias(tokens), F.least("q", F.col("m") * MAX_EPOCHS).alias(quota)
+    for s, mine in held.items():
+        mine.sort()
+        rows += [(s, k, end - m) for (k, m), end in zip(mine, accumulate(m for _, m in mine))]
+    offsets = spark.createDataFrame(rows, "s string, k bigint, before bigint").select(
+        F.col("s").alias(shard_src), F.col("k").alias(held_shard), F.col("before").alias(before)
     )
-    dealt = dealt.withColumnRenamed(src, salt).join(
-        F.broadcast(quotas), F.col(salt).eqNullSafe(F.col(src)) & (dealt[shard] == quotas[shard]), "left"
-    ).drop(quotas[shard])
+    dealt = dealt.join(F.broadcast(offsets), F.col(src).eqNullSafe(F.col(shard_src)) & (F.col(shard) == F.col(held_shard)), "left")
 
+    tokens = F.col(names[0])
     w = Window.partitionBy(src, shard).orderBy(seed.text(quoted(doc_id), "order"), quoted(doc_id), F.col(size))
     laid = (
-        dealt.withColumn(start, F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
-        .withColumn(epochs, F.when(F.col(tokens) > 0, F.floor(F.col(quota) / F.greatest(F.col(tokens), F.lit(1)))).otherwise(0).cast("long"))
-        .withColumn(rest, F.floor((F.col(quota) - F.col(epochs) * F.col(tokens)) / block_tokens + 0.5).cast("long"))
-        .withColumn(total, F.ceil(F.col(tokens) / block_tokens).cast("long"))
+        dealt.withColumn(start, F.col(before) + F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
+        .withColumn(epochs, F.when(tokens > 0, F.floor(F.col(quota) / F.greatest(tokens, F.lit(1)))).otherwise(0).cast("long"))
+        .withColumn(rest, F.floor((F.col(quota) - F.col(epochs) * tokens) / block_tokens + 0.5).cast("long"))
+        .withColumn(total, F.ceil(tokens / block_tokens).cast("long"))
     )
     first = F.floor(F.col(start) / block_tokens).cast("long")
     last = F.floor((F.col(start) + F.col(size) - 1) / block_tokens).cast("long")
     chosen = F.when((F.col(size) > 0) & (F.col(rest) > 0), F.filter(
-        F.sequence(first, F.greatest(first, last)), lambda i: F.pmod(i * F.lit(_STRIDE), F.col(total)) < F.col(rest)
+        F.sequence(first, F.greatest(first, last)), lambda i: _strided(i, F.col(total)) < F.col(rest)
     ))
     runs = F.transform(chosen, lambda i: F.struct(
         F.greatest(i * block_tokens - F.col(start), F.lit(0)).cast("long").alias("first"),
