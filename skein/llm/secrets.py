@@ -27,8 +27,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _DIGIT = re.compile(r"[0-9]")
-#: Tokens that may be a weak identifier or secret; what they hold decides.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,128}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+#: Tokens that may be a weak identifier or secret, however long; what they hold decides.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.A)
 
 Span = tuple[str, int, int]
@@ -58,7 +58,7 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
             upper, lower = any(c.isupper() for c in t), any(c.islower() for c in t)
             if upper and not lower and t.isalnum() and len(t) <= 32:
                 found.append(("weak_id", *m.span()))
-            elif upper and lower and len(t) >= 20:
+            elif lower and len(t) >= 20 and (upper or t.isalnum()):
                 found.append(("weak_secret", *m.span()))
     taken = Near([(a, b) for _, a, b in base])
     return [x for x in found if not taken.within(x[1], x[2], -1)]
