@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, language_id, line_dedup, mixing, revisits, secrets, simhash, span_dedup, topk, toxicity
+from skein.llm import decontaminate, language_id, line_dedup, mixing, pieces, revisits, secrets, simhash, span_dedup, topk, toxicity, whitening
 from skein.llm.common import held_out, table
 from skein.session import reliable
 
@@ -165,3 +165,18 @@ def op10(spark, sf_dir):
     log = revisits.capture_log(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     lines = F.array_join(F.transform("headers", lambda x: F.concat_ws(": ", x["name"], x["value"])), "\n")
     return revisits.resolve(log).withColumns({"headers": lines, "response_id": F.coalesce("response_id", F.lit(-1).cast("long"))})
+
+
+@query("op12_sentencepiece_codec")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digest(pieces.decode(pieces.encode(docs, model).drop("text"), model))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.digest(vectors, whitening.fit(vectors))
