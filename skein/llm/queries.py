@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, language_id, line_dedup, mixing, pieces, revisits, secrets, simhash, span_dedup, topk, toxicity, whitening
+from skein.llm import decontaminate, language_id, line_dedup, mixing, pieces, ranking, revisits, secrets, simhash, span_dedup, topk, toxicity, whitening
 from skein.llm.common import held_out, table
 from skein.session import reliable
 
@@ -167,6 +167,24 @@ def op10(spark, sf_dir):
     return revisits.resolve(log).withColumns({"headers": lines, "response_id": F.coalesce("response_id", F.lit(-1).cast("long"))})
 
 
+@query("op11_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+c AS (SELECT doc_id, r, len(words) AS n FROM d WHERE len(words) > 0),
+s AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS words FROM c),
+t AS (SELECT r, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+i AS (SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT r, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term),
+m AS (SELECT r, doc_id, 100 - 50 + ((50 * n * total) // words) AS m FROM c, s),
+o AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER best::INTEGER AS rank, doc_id, score FROM o JOIN m USING (r) WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= {ranking.K}""")
+def op11(spark, sf_dir):
+    return ranking.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_sentencepiece_codec")
 def op12(spark, sf_dir):
     import public_tokenizers
