@@ -19,8 +19,10 @@ has, which become byte pieces. Short chunks are remembered, a bounded number of
 from __future__ import annotations
 
 import re
+import sys
 from array import array
 from collections.abc import Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -50,37 +52,72 @@ class Trace:
         self.whole = len(parts) == 1
 
 
-class Pieces:
-    """A model's pieces with what the search needs: matches, shorter pieces, and merges by score."""
+class Surfaces:
+    """What decoding needs of a model: the text of each id, and the byte of a byte piece."""
 
     def __init__(self, model: str):
-        import ahocorasick
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        spec = proto.ModelProto()
+        self.spec = spec = proto.ModelProto()
         with open(model, "rb") as f:
             spec.ParseFromString(f.read())
         kind = proto.ModelProto.SentencePiece.Type
-        types = [kind.Name(p.type) for p in spec.pieces]
+        self.types = types = [kind.Name(p.type) for p in spec.pieces]
         if spec.trainer_spec.model_type != proto.TrainerSpec.BPE or not spec.trainer_spec.byte_fallback:
             raise ValueError("only merge-type models with byte fallback")
         if "USER_DEFINED" in types or "UNUSED" in types or spec.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("user-defined and unused pieces and white space at the end are not supported")
-        self.normalize = sentencepiece.SentencePieceProcessor(model_file=model).normalize
         self.bos, self.eos = spec.trainer_spec.bos_id, spec.trainer_spec.eos_id
-        self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if types[i] == "NORMAL"}
-        self.score = {p.piece: p.score for p, t in zip(spec.pieces, types) if t == "NORMAL"}
-        self.bytes = [0] * 256
-        for i, p in enumerate(spec.pieces):
-            if types[i] == "BYTE":
-                self.bytes[int(p.piece, 16) if p.piece.startswith("0x") else int(p.piece[1:-1], 16)] = i
+        self.byte = {i: int(p.piece[1:-1], 16) for i, p in enumerate(spec.pieces) if types[i] == "BYTE"}  # <0x0A>
+        self.bytes = {b: i for i, b in self.byte.items()}
+        shown = {"NORMAL": lambda p: p.replace(SPACE, " "), "UNKNOWN": lambda p: spec.trainer_spec.unk_surface}
+        self.surface = [shown[t](p.piece) if t in shown else "" for p, t in zip(spec.pieces, types)]
+        rules = spec.normalizer_spec
+        self.strips, self.strips_all = rules.add_dummy_prefix or rules.remove_extra_whitespaces, rules.remove_extra_whitespaces
+
+    def decode(self, ids: array) -> str:
+        """The text of ids; bytes that are no UTF-8 become U+FFFD one by one."""
+        surface, byte, types = self.surface, self.byte, self.types
+        out: list[str] = []
+        raw = bytearray()
+        begin, dropped = True, False  # before any text; the space before the text is gone
+        for i in ids:
+            if i in byte:
+                raw.append(byte[i])
+                continue
+            if raw:
+                out.append(_utf8(bytes(raw)))
+                raw.clear()
+            shown = surface[i]
+            if begin:
+                begin = not (dropped or out)
+                if begin and self.strips and types[i] == "NORMAL" and shown.startswith(" "):
+                    shown, dropped = shown[1:], not self.strips_all
+            if shown:
+                out.append(shown)
+        if raw:
+            out.append(_utf8(bytes(raw)))
+        return "".join(out)
+
+
+class Pieces(Surfaces):
+    """A model's pieces with what the search needs: matches, shorter pieces, and merges by score."""
+
+    def __init__(self, model: str):
+        import ahocorasick
+        import sentencepiece
+
+        super().__init__(model)
+        self.normalize = sentencepiece.SentencePieceProcessor(model_file=model).normalize
+        normal = [(i, p) for i, p in enumerate(self.spec.pieces) if self.types[i] == "NORMAL"]
+        self.ids, self.score = {p.piece: i for i, p in normal}, {p.piece: p.score for _, p in normal}
         # Characters that only occur inside pieces take part in merges too, and end as bytes.
         alphabet = {c for p in self.ids for c in p}
         self.names = list(self.ids) + sorted(alphabet - self.ids.keys())
         self.numbers = {p: i for i, p in enumerate(self.names)}
         self.lengths = [len(p) for p in self.names]
         self.shorter = [next((self.numbers[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.numbers), -1) for p in self.names]
+        self.spelled = [(self.ids[p],) if p in self.ids else tuple(self.bytes[b] for b in p.encode()) for p in self.names]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.numbers.items():
             self.automaton.add_word(p, i)
@@ -89,21 +126,11 @@ class Pieces:
         self.cut = re.compile(f"[{group}]+[^{group}]*|[^{group}]+" if group else r"(?s).+").findall
         known = "".join(map(re.escape, sorted(alphabet)))
         self.runs = re.compile(f"([{known}]+)|(?s:.)").finditer
-        self.spelled = [(self.ids[p],) if p in self.ids else tuple(self.bytes[b] for b in p.encode()) for p in self.names]
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.traces: dict[int, Trace] = {}
         self.pairs: dict[int, bool] = {}
-        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        # Decoding: the text of each id, and the byte of a byte piece.
-        self.surface = [p.piece.replace(SPACE, " ") if t == "NORMAL" else "" for p, t in zip(spec.pieces, types)]
-        self.unknown = {i for i, t in enumerate(types) if t == "UNKNOWN"}
-        for i in self.unknown:
-            self.surface[i] = spec.trainer_spec.unk_surface
-        self.is_control = [t == "CONTROL" for t in types]
-        self.byte = {i: b for b, i in enumerate(self.bytes)}
-        rules = spec.normalizer_spec
-        self.strips, self.strips_all = rules.add_dummy_prefix or rules.remove_extra_whitespaces, rules.remove_extra_whitespaces
 
     def trace(self, n: int) -> Trace:
         t = self.traces.get(n)
@@ -200,40 +227,6 @@ class Pieces:
         ids = [known(c) or new(c) for c in self.cut(self.normalize(text))] if text else []
         return b"".join([array("I", [self.bos]).tobytes() if begin else b"", *ids, array("I", [self.eos]).tobytes() if end else b""])
 
-    def decode(self, ids: array) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD one by one."""
-        surface, byte = self.surface, self.byte
-        # Only the pieces up to the first that shows depend on their place.
-        out: list[str] = []
-        at, begin, dropped = 0, True, False
-        raw = bytearray()
-
-        def flush() -> None:
-            if raw:
-                out.append(_utf8(bytes(raw)))
-                raw.clear()
-
-        for at, i in enumerate(ids):
-            b = byte.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                flush()
-            if begin:
-                if dropped or out:
-                    begin = False
-                else:
-                    text, dropped = surface[i], False
-                    if not self.is_control[i] and i not in self.unknown and self.strips and text.startswith(" "):
-                        text, dropped = text[1:], not self.strips_all
-                    if text:
-                        out.append(text)
-                    continue
-            out.append(surface[i])
-        flush()
-        return "".join(out)
-
 
 def _utf8(raw: bytes) -> str:
     try:
@@ -257,9 +250,19 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-def _little(raw: bytes) -> bytes:
-    import sys
+def of_worker(kind: type[Surfaces], model: str) -> Surfaces:
+    """The pieces of a model with all they remember, kept by a Python worker from task to task.
+
+    They sit in a module of the worker's, since this one comes anew with the functions of each task.
+    """
+    name = f"_pieces_of_worker_{kind.__name__}"
+    kept = sys.modules.setdefault(name, ModuleType(name)).__dict__
+    if kept.get("model") != model:
+        kept.update(model=model, pieces=kind(model))
+    return kept["pieces"]
+
 
+def _little(raw: bytes) -> bytes:
     if sys.byteorder == "little":
         return raw
     a = array("I", raw)
@@ -276,7 +279,7 @@ def encode(docs: DataFrame, model: str, out: str = "ids", text: str = "text", be
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(model)
+        pieces = of_worker(Pieces, model)
         for texts in batches:
             yield pa.array([_little(pieces.encode(t or "", begin, end)) for t in texts.to_pylist()], pa.binary())
 
@@ -291,7 +294,7 @@ def decode(docs: DataFrame, model: str, out: str = "decoded", ids: str = "ids")
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(model)
+        pieces = of_worker(Surfaces, model)
         for rows in batches:
             yield pa.array([None if r is None else pieces.decode(array("I", _little(r))) for r in rows.to_pylist()], pa.string())
 
