@@ -393,17 +393,24 @@ def test_secret_edges(odd, empty):
 # ------------------------------------------------------------------ repeated passages
 
 
-def brute_cut(rows, min_words=span_dedup.MIN_WORDS):
-    """Every run of 2 or 3 sentences that is long enough, in order of document and position."""
-    seen, out = {}, {}
+def brute_cut(rows, min_words=span_dedup.MIN_WORDS, lone_words=span_dedup.LONE_WORDS):
+    """Every run of sentences that is long enough, in order of document and position, whatever its length.
+
+    A run is two sentences or more with ``min_words`` words, or one with ``lone_words``. Runs are told
+    apart by a tree of sentences.
+    """
+    tree, first, out = {}, {}, {}
     for i, t in sorted(rows):
         parts = span_dedup.sentences(t or "")
         bare, gone = [t[a:b].strip() for a, b in parts], set()
         for k in range(len(bare)):
-            for n in (2, 3):
-                run = tuple(bare[k : k + n])
-                if len(run) == n and sum(len(s.split()) for s in run) >= min_words and seen.setdefault(run, (i, k)) != (i, k):
-                    gone |= set(range(k, k + n))
+            node, words, end = 0, 0, k
+            for j in range(k, len(bare)):
+                node = tree.setdefault((node, bare[j]), len(tree) + 1)
+                words += len(bare[j].split())
+                if words >= (lone_words if j == k else min_words) and first.setdefault(node, (i, k)) != (i, k):
+                    end = j + 1
+            gone |= set(range(k, end))
         out[i] = "".join(t[a:b] for j, (a, b) in enumerate(parts) if j not in gone) if t is not None else None
     return out
 
