@@ -19,19 +19,28 @@ def _lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """96 bits that stand for a line without the spaces around it."""
-    return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.hash(F.trim(line)).alias("b"))
+    return _bits(F.trim(line))
+
+
+def _bits(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
 
 
 def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, lines): per host the keys of lines on more than ``max_ratio`` of its pages.
 
-    A page counts a line once. Counts are combined before the shuffle. A host has at most (mean
+    A page counts a line once, and pages of one text count once, so that whole copies of a page do not
+    make its lines boilerplate. Counts are combined before the shuffle. A host has at most (mean
     lines of a page) / ``max_ratio`` such lines, however many pages it has, so its list is bounded.
     """
-    rows = docs.select(host.alias("host"), F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key)).alias("keys"))
-    pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    rows = docs.select(
+        host.alias("host"), _bits(F.coalesce(text, F.lit(""))).alias("body"),
+        F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key)).alias("keys"),
+    )
+    pages = rows.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
-        rows.select("host", F.explode("keys").alias("key"))
+        rows.select("host", "body", F.explode("keys").alias("key"))
+        .distinct()
         .groupBy("host", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_pages)
@@ -57,10 +66,10 @@ def drop_boilerplate(
 ) -> DataFrame:
     """Take from every text the lines on more than ``max_ratio`` of its host's pages.
 
-    Only lines on ``min_pages`` pages or more count, so that small hosts keep theirs. Blank lines
+    Pages of one text count once. Only lines on ``min_pages`` pages or more count, so that small hosts keep theirs. Blank lines
     stay. Lines are compared without the spaces around them. Null hosts form one host. A null text
-    stays null and has no lines; a text of boilerplate alone becomes empty. Repeated rows are pages
-    of their own and all come back. Other columns pass through; ``text`` is replaced and the two
+    stays null and has no lines; a text of boilerplate alone becomes empty. Repeated rows all
+    come back, each cut alike. Other columns pass through; ``text`` is replaced and the two
     counts are added under the given names.
     """
     found = reliable(boilerplate(docs, quoted(host), quoted(text), max_ratio, min_pages))

@@ -120,8 +120,8 @@ def op8(spark, sf_dir):
 
 @query("op9_line_dedup", f"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents),
-n AS (SELECT source, trim(line) AS line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
-p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL),
+n AS (SELECT source, trim(line) AS line, count(DISTINCT text) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
+p AS (SELECT source, count(DISTINCT coalesce(text, '')) AS pages FROM documents GROUP BY ALL),
 bad AS (SELECT n.source, list(line) AS lines FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source
   WHERE n >= {line_dedup.MIN_PAGES} AND n::DOUBLE / pages::DOUBLE > {line_dedup.MAX_RATIO}::DOUBLE GROUP BY ALL),
 k AS (SELECT doc_id, text, string_split(text, chr(10)) AS every,
