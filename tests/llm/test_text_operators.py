@@ -442,7 +442,17 @@ def test_lines_by_share_of_a_site(spark, limit):
     rows += [(1000 + i, f"footer\nhere {i}", None, None, 0) for i in range(4)] + [(2000 + i, "null site", None, None, 0) for i in range(6)]
     got = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOCS), broadcast_lines=limit).collect()}
     assert got[5].text == "own 5\n\nrare 5" and (got[5].n_lines, got[5].n_dropped) == (5, 2)
-    assert got[1001].text == "footer\nhere 1" and got[2003].text == ""
+    assert got[1001].text == "footer\nhere 1" and got[2003].text == "null site"
+
+
+def test_copies_of_a_page_keep_their_lines(spark):
+    """Six whole copies among a hundred pages: their body stays, the line of the template goes."""
+    rows = [(i, f"own {i}\nfooter", "en", "a", 0) for i in range(94)] + [(500 + i, "body one\nbody two\nfooter", "en", "a", 0) for i in range(6)]
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {got[500 + i].text for i in range(6)} == {"body one\nbody two"} and got[3].text == "own 3"
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.dedup_documents(spark, corpus_pipeline.dedup_lines(spark, docs, ""), "").collect()
+    assert [r.doc_id for r in kept if r.text == "body one\nbody two"] == [500]
 
 
 def test_line_edges(odd, empty):
@@ -501,8 +511,9 @@ def test_pipeline_matches_brute_force(spark, folder, corpus):
     model = language_id.fit(docs, ~language_id.held_out("doc_id"))
     coders = language_id._coders(model)
     kept = [r for r in corpus if not language_id.decide(r[1], model, coders, language_id.MIN_MARGIN)[2]]
-    pages, lines = Counter(s for _, _, _, s in kept), Counter()
-    for _, t, _, s in kept:
+    bodies = {(s, t) for _, t, _, s in kept}
+    pages, lines = Counter(s for s, _ in bodies), Counter()
+    for s, t in bodies:
         lines.update({(s, x.strip(" ")) for x in t.split("\n")} - {(s, "")})
     bad = {k for k, n in lines.items() if n >= line_dedup.MIN_PAGES and n / pages[k[0]] > line_dedup.MAX_RATIO}
     kept = [(i, "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in bad), s) for i, t, _, s in kept]
