@@ -1,6 +1,8 @@
 """Closed forms: lines, circles and helices; constant, linear and circular fields."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from skein.operators import ranking as R
 from skein.operators import search as N
 from skein.operators import similarity as M
 from skein.operators import segmentation as S
+from skein.operators.components import components
 
 POINTS = "line_id bigint, pt_idx int, x double, y double, z double"
 
@@ -121,21 +124,10 @@ def test_acceptance_in_order(spark):
     assert sorted(r.line_id for r in V.accept_in_order(ids, links).collect()) == [0, 2, 4]
 
 
-def test_greedy_order_against_plain_loop(spark):
-    table = [
-        (0, 0, 1, 0.1, 3.0), (0, 0, 2, 0.2, 1.0), (0, 1, 1, 0.3, 2.0), (1, 0, 0, 0.1, 0.5),
-        (1, 1, 2, 0.2, 4.0), (2, 0, 0, 0.4, 2.5), (2, 1, 1, 0.1, 0.2), (2, 2, 0, 0.3, 1.0),
-    ]
-    sizes = {0: 2, 1: 3, 2: 3, 3: 2}
-    points = spark.createDataFrame(
-        [(k, i, 0.0, 0.0, 0.0) for k, n in sizes.items() for i in range(n)], POINTS
-    )
-    frame = spark.createDataFrame(
-        table, "line_id bigint, pt_idx int, nbr_line bigint, dist double, variation double"
-    )
-    ranked = N.top_neighbours(frame)
+def plain_order(table, sizes):
+    """Lines by repeated removal of the one with the lowest score, all scores made anew each time."""
     heaps = {}
-    for line, pt, nbr, dist, var in sorted(table, key=lambda r: r[3]):
+    for line, pt, nbr, _, var in sorted(table, key=lambda r: (r[3], r[2])):
         heaps.setdefault((line, pt), []).append((nbr, var))
     want = []
     while True:
@@ -151,9 +143,54 @@ def test_greedy_order_against_plain_loop(spark):
         gone = min(total, key=lambda k: (total[k], k))
         want.append(gone)
         heaps = {k: [e for e in h if e[0] != gone] for k, h in heaps.items() if k[0] != gone}
-    want += [k for k in sizes if k not in want]
-    got = R.greedy_order(points, ranked, batch=2).orderBy("rank").collect()
-    assert [r.line_id for r in got] == want and [r["rank"] for r in got] == [0, 1, 2, 3]
+    return want + [k for k in sorted(sizes) if k not in want]
+
+
+def ordered(spark, table, sizes, **args):
+    points = spark.createDataFrame([(k, i, 0.0, 0.0, 0.0) for k, n in sizes.items() for i in range(n)], POINTS)
+    frame = spark.createDataFrame(table, "line_id bigint, pt_idx int, nbr_line bigint, dist double, variation double")
+    got = R.greedy_order(points, N.top_neighbours(frame), **args).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(len(sizes)))
+    return [r.line_id for r in got]
+
+
+def test_greedy_order_against_plain_loop(spark):
+    table = [
+        (0, 0, 1, 0.1, 3.0), (0, 0, 2, 0.2, 1.0), (0, 1, 1, 0.3, 2.0), (1, 0, 0, 0.1, 0.5),
+        (1, 1, 2, 0.2, 4.0), (2, 0, 0, 0.4, 2.5), (2, 1, 1, 0.1, 0.2), (2, 2, 0, 0.3, 1.0),
+    ]
+    sizes = {0: 2, 1: 3, 2: 3, 3: 2}
+    want = plain_order(table, sizes)
+    assert ordered(spark, table, sizes) == want
+    assert ordered(spark, table, sizes, batch=2, local_entries=0) == want
+
+
+def test_greedy_order_merges_groups(spark):
+    """Groups of lines of many sizes, ties between them, one-way links, and one group ordered by all tasks."""
+    rng = random.Random(4)
+    sizes, table = {}, []
+    for g in range(12):
+        ids = [100 * (g % 5) + 7 * g + i for i in range(rng.randint(2, 7))]
+        sizes |= {i: rng.randint(1, 6) for i in ids}
+        for i in ids:
+            for p in range(sizes[i]):
+                near = rng.sample([j for j in ids if j != i], rng.randint(0, len(ids) - 1))
+                table += [(i, p, j, rng.choice([0.1, 0.2, 0.3]) + j / 1e6, rng.choice([0.5, 1.0, 2.5, rng.random()])) for j in near]
+    want = plain_order(table, sizes)
+    assert ordered(spark, table, sizes) == want
+    largest = max(Counter(line // 1 for line, *_ in table).values())
+    assert ordered(spark, table, sizes, local_entries=2 * largest) == want
+
+
+def test_components_of_paths_and_stars(spark):
+    rng = random.Random(8)
+    path = list(range(0, 400))
+    rng.shuffle(path)
+    edges = list(zip(path, path[1:])) + [(1000, 1000 + i) for i in range(1, 300)] + [(2001, 2000), (2001, 2001)]
+    nodes = path + list(range(1000, 1300)) + [2000, 2001, 2002]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint"), spark.createDataFrame([(n,) for n in nodes], "node bigint")
+    got = dict(components(frame[1], frame[0]).collect())
+    assert got == {n: 0 if n < 400 else 1000 if n < 2000 else 2000 if n < 2002 else 2002 for n in nodes}
 
 
 def test_control_points_add_up(spark):
