@@ -68,10 +68,11 @@ def nearest_per_line(
     gate: Column | None = None,
     crowded: int = CROWDED,
     hot_rows: int = HOT_ROWS,
+    earlier: bool = False,
 ) -> DataFrame:
     """For each query and each other line: its nearest target within ``radius``.
 
-    ``own`` names the query column whose line is left out; ``same`` lists further columns on which
+    ``own`` names the query column whose line is left out, with ``earlier`` also the lines after it; ``same`` lists further columns on which
     both sides have to agree; ``gate`` is an extra condition on a pair. Returns key, nbr_line,
     nbr_id and dist; the smallest nbr_id wins a tie.
 
@@ -85,7 +86,7 @@ def nearest_per_line(
     per_line = _crowding(targets, size, same)
     largest = _asked_in_cell(queries, size, same)
     r2 = F.lit(float(radius) * float(radius))
-    other = F.col(own) != F.col("nbr_line") if own else F.lit(True)
+    other = (F.col(own) > F.col("nbr_line") if earlier else F.col(own) != F.col("nbr_line")) if own else F.lit(True)
     d2 = P.sq_dist(N)
     best = F.min(F.struct(d2.alias("d2"), F.col("nbr_id"))).alias("_m")
 

@@ -183,6 +183,27 @@ def two_term_similarity(
     return prof.select(*EDGES_KEY, score.alias("score"), (score < separation).alias("similar"))
 
 
+def window_fits(edges: DataFrame, points: DataFrame, separation: float, half: int, alpha: float) -> DataFrame:
+    """The edges with ``dist`` and ``fits``: bit h - 1 tells the two-term test by index windows of h a side.
+
+    The test is d + alpha * mean |d_o - d| < separation for the distances d_o at the 2h + 1 offsets up
+    to h; windows that reach beyond an end of a line do not pass. ``half`` is at most 62.
+    """
+    prof = _profile(edges, points, -half, half, _distance)
+    w, at, d = F.col("_w"), F.col("_at"), _center(F.col("_w"))
+
+    def bit(h: int) -> Column:
+        off = _sum(F.slice(w, F.greatest(at - h, F.lit(1)), F.lit(2 * h + 1)), lambda e: F.abs(e - d))
+        inside = (at > h) & (at + h <= F.size(w))
+        passes = inside & (d + F.lit(float(alpha)) * off / F.lit(float(2 * h + 1)) < separation)
+        return F.when(passes, F.lit(1 << (h - 1))).otherwise(F.lit(0)).cast("bigint")
+
+    fits = bit(1)
+    for h in range(2, half + 1):
+        fits = fits.bitwiseOR(bit(h))
+    return prof.select(*EDGES_KEY, d.alias("dist"), fits.alias("fits"))
+
+
 # ------------------------------------------------------------------ per-point measures
 
 

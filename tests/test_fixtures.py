@@ -18,6 +18,7 @@ from skein.operators import search as N
 from skein.operators import similarity as M
 from skein.operators import segmentation as S
 from skein.operators.components import components
+from skein.operators.seeding import grow_lines
 
 POINTS = "line_id bigint, pt_idx int, x double, y double, z double"
 
@@ -118,10 +119,59 @@ def test_blocks_do_not_change_a_circle(spark):
     assert all(abs(math.hypot(r.x - 12, r.y - 12) - 6) < 0.15 for r in whole)
 
 
-def test_acceptance_in_order(spark):
-    ids = spark.range(6).withColumnRenamed("id", "line_id")
-    links = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (5, 3), (5, 4)], "line_id bigint, earlier bigint")
-    assert sorted(r.line_id for r in V.accept_in_order(ids, links).collect()) == [0, 2, 4]
+def plain_growth(paths, starts, separation, alpha, half, min_length, max_size):
+    """Lines grown one after the other, each end tested as it is made."""
+    far = math.dist
+    done = {}
+
+    def similar(path, c):
+        for other, (lo, hi) in done.items():
+            own = paths[other]
+            d, q = min((far(path[c], own[q]), q) for q in range(lo, hi + 1))
+            h = min(half, q - lo, hi - q)
+            if d < separation and h > 0:
+                off = [abs(far(path[c + o], own[q + o]) - d) for o in range(-h, h + 1)]
+                if d + alpha * sum(off) / len(off) < separation:
+                    return True
+        return False
+
+    for i, path in paths.items():
+        lo = hi = starts[i]
+        ahead = back = True
+        while (ahead or back) and hi - lo + 1 < max_size:
+            if ahead:
+                ahead = hi + 1 < len(path) and not (hi + 2 - lo > 2 * half and similar(path, hi + 1 - half))
+                hi += ahead
+            if back:
+                back = lo > 0 and not (hi - lo + 2 > 2 * half and similar(path, lo - 1 + half))
+                lo -= back
+        if sum(far(path[k], path[k + 1]) for k in range(lo, hi)) > min_length:
+            done[i] = lo, hi
+    return {i: paths[i][lo : hi + 1] for i, (lo, hi) in done.items()}
+
+
+@pytest.mark.parametrize("max_size", [5000, 25])
+def test_lines_stop_growing_as_one_after_the_other(spark, max_size):
+    rng = random.Random(6)
+    paths, starts = {}, {}
+    for i in range(30):
+        x, y, a = rng.uniform(0, 6), rng.uniform(0, 6), rng.uniform(0, 7)
+        path = []
+        for _ in range(rng.randint(3, 70)):
+            path.append((x, y, 0.0))
+            a += rng.uniform(-0.3, 0.3)
+            x, y = x + 0.2 * math.cos(a), y + 0.2 * math.sin(a)
+        paths[i], starts[i] = path, rng.randrange(len(path))
+    paths[30], starts[30] = list(paths[3]), starts[3]  # a whole copy of an earlier line
+    paths[31], starts[31] = [(50.0, 50.0, 0.0)], 0
+    df = lines(spark, *paths.values())
+    begin = spark.createDataFrame(list(starts.items()), "line_id bigint, seed_at int")
+    got = {}
+    for r in grow_lines(df, begin, 0.5, 0.2, 3, 1.5, max_size).orderBy("line_id", "pt_idx").collect():
+        got.setdefault(r.line_id, []).append((r.x, r.y, r.z))
+    want = plain_growth(paths, starts, 0.5, 0.2, 3, 1.5, max_size)
+    assert got == want and any(len(want[i]) < len(paths[i]) for i in want) and len(want) < 31 - (max_size < 50)
+    assert grow_lines(df.where("false"), begin, 0.5).count() == 0
 
 
 def plain_order(table, sizes):
