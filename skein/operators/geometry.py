@@ -238,24 +238,27 @@ def smooth(
     half_window: int,
     passes: int = SMOOTH_PASSES,
     chunk: int = CHUNK,
-    checkpoint_every: int = 10,
+    together: int = 10,
 ) -> DataFrame:
-    """Weighted moving mean over [i - w, i + w), repeated; all neighbours weigh the same."""
-    for k in range(1, passes + 1):
-
-        def cols(w):
-            frame = w.rowsBetween(-half_window, half_window - 1)
-            g = F.lit(SMOOTH_WEIGHT)
-            n = F.count(F.lit(1)).over(frame) - 1
-            total = F.lit(SMOOTH_SELF) + g * n
-            return {
-                f"_{c}": (F.col(c) * (F.lit(SMOOTH_SELF) - g) + g * F.sum(c).over(frame)) / total
-                for c in "xyz"
-            }
-
-        moved = halo_windows(points, cols, half_window, half_window, chunk)
-        points = moved.withColumns({c: F.col(f"_{c}") for c in "xyz"}).drop("_x", "_y", "_z")
-        if k % checkpoint_every == 0 and k < passes:
+    """Weighted moving mean over [i - w, i + w), repeated; all neighbours weigh the same.
+
+    ``together`` passes run over one halo, as wide as their reach in all, and so take one shuffle; the
+    state after them is fixed in the checkpoint folder.
+    """
+
+    def cols(w):
+        frame = w.rowsBetween(-half_window, half_window - 1)
+        g = F.lit(SMOOTH_WEIGHT)
+        n = F.count(F.lit(1)).over(frame) - 1
+        total = F.lit(SMOOTH_SELF) + g * n
+        return {c: (F.col(c) * (F.lit(SMOOTH_SELF) - g) + g * F.sum(c).over(frame)) / total for c in "xyz"}
+
+    done = 0
+    while done < passes:
+        k = min(together, passes - done)
+        points = halo_windows(points, [cols] * k, k * half_window, k * half_window, chunk)
+        done += k
+        if done < passes:
             points = reliable(points)
     return points
 

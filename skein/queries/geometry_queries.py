@@ -144,10 +144,10 @@ def _smooth_sql(passes: int, w: int) -> list[str]:
     return ctes
 
 
-@query("gaussian_smooth", with_ctes(POINTS, *_smooth_sql(3, 4), select=f"""
-SELECT line_id, pt_idx, {s6('x')}, {s6('y')}, {s6('z')} FROM smooth2"""))
+@query("gaussian_smooth", with_ctes(POINTS, *_smooth_sql(G.SMOOTH_PASSES, 4), select=f"""
+SELECT line_id, pt_idx, {s6('x')}, {s6('y')}, {s6('z')} FROM smooth{G.SMOOTH_PASSES - 1}"""))
 def gaussian_smooth(spark, folder):
-    out = G.smooth(event_points(spark, folder), 4, passes=3)
+    out = G.smooth(event_points(spark, folder), 4)
     return rounded(out.select(*KEY, "x", "y", "z"), "x", "y", "z")
 
 

@@ -125,6 +125,6 @@ def mutual_edges(spark, folder):
 @query("topk_neighbors", with_ctes(POINTS, EDGES, select=f"""
 SELECT line_id, pt_idx, nbr_line, nbr_pt, {s6('dist')},
   CAST(row_number() OVER (PARTITION BY line_id, pt_idx ORDER BY dist, nbr_line) AS INTEGER) AS rank
-FROM edges QUALIFY rank <= 4"""))
+FROM edges QUALIFY rank <= 64"""))
 def topk_neighbors(spark, folder):
-    return rounded(N.top_neighbours(edges(spark, folder), 4), "dist")
+    return rounded(N.top_neighbours(edges(spark, folder)), "dist")

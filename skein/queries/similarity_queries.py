@@ -278,5 +278,5 @@ def two_term_similarity(spark, folder):
 @query("analysis_alpha")
 def analysis_alpha(spark, folder):
     """The whole analysis on normalised lines: cuts, hashing, neighbours, opacity, colours."""
-    settings = Settings(application=Application.ALPHA, radius=0.02, pool=8)
+    settings = Settings(application=Application.ALPHA, radius=0.02)
     return rounded(analyze(event_points(spark, folder), settings), "x", "y", "z", "alpha")
