@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from skein.functions.scalars import parse_number
 from skein.functions.vec import Vec3
 from skein.operators.geometry import drop_near_kept, global_index, shift_nonnegative
+from skein.session import reliable
 from skein.skew import explode_range, halo_windows, rank_within, running_sums
 
 POINT_COLUMNS = ["file", "line_id", "pt_idx", "x", "y", "z"]
@@ -45,10 +46,10 @@ def _triple(words: Column, first: int) -> dict[str, Column]:
     return {n: parse_number(F.get(words, first + i)) for i, n in enumerate("xyz")}
 
 
-def _index(points: DataFrame) -> DataFrame:
-    """Number the vertices of each line by row."""
+def _index(points: DataFrame, *extra: str) -> DataFrame:
+    """Number the vertices of each line by row; ``extra`` names further columns to keep."""
     ranked = rank_within(points, ["file", "line_id"], ["row"], "pt_idx")
-    return ranked.select(*POINT_COLUMNS)
+    return ranked.select(*POINT_COLUMNS, *extra)
 
 
 def _tokens(rows: DataFrame, pattern: str = r"[\s,]+") -> DataFrame:
@@ -75,11 +76,13 @@ def read_obj(
     min_step: float | None = None,
     nonnegative: bool = False,
     as_one: bool = False,
+    offset: int = 0,
 ) -> DataFrame:
     """``v x y z`` rows; a row that starts with an end marker closes the line before it.
 
     An unfinished last line is dropped. ``downsample`` keeps every k-th vertex, ``scale`` and
-    ``origin`` transform them, ``min_step`` drops vertices near the last kept one.
+    ``origin`` transform them, ``min_step`` drops vertices near the last kept one. The first ``offset``
+    lines of a file are passed over; ``max_lines`` and the numbers of the others count from there.
     """
     rows = numbered_rows(spark, path, as_one)
     first = F.substring("value", 1, 1)
@@ -95,6 +98,8 @@ def read_obj(
         .select("file", "row", F.col("_ends").alias("line_id"), words.alias("_w"))
         .select("file", "row", "line_id", *[c.alias(n) for n, c in _triple(F.col("_w"), 1).items()])
     )
+    if offset:
+        points = points.where(F.col("line_id") >= offset).withColumn("line_id", F.col("line_id") - offset)
     if max_lines is not None:
         points = points.where(F.col("line_id") < max_lines)
     points = _index(points)
@@ -109,10 +114,11 @@ def read_obj(
         v = v + Vec3.lit(*origin)
     points = points.withColumns(v.columns())
     if min_step is not None:
-        slim = drop_near_kept(_one_file(points), min_step)
-        points = _renumber(slim).withColumn("file", F.lit(None).cast("string")).select(
-            *POINT_COLUMNS
-        )
+        lines = points.select("file", "line_id").distinct()
+        named = reliable(rank_within(lines, [], ["file", "line_id"], "_line", dtype="bigint"))
+        own = points.join(named, ["file", "line_id"]).select(F.col("_line").alias("line_id"), "pt_idx", "x", "y", "z")
+        slim = _renumber(drop_near_kept(own, min_step)).withColumnRenamed("line_id", "_line")
+        points = slim.join(named, "_line").select(*POINT_COLUMNS)
     return shift_nonnegative(points) if nonnegative else points
 
 
@@ -218,9 +224,12 @@ def read_planar_lines(spark: SparkSession, path: str, divide: float = 20.0) -> D
 
 
 def group_runs(
-    rows: DataFrame, id_column: str, max_lines: int | None = None, downsample: int = 1
+    rows: DataFrame, id_column: str, max_lines: int | None = None, downsample: int = 1, extra: Sequence[str] = ()
 ) -> DataFrame:
-    """Start a new line whenever the id changes from one row to the next (file, row order)."""
+    """Start a new line whenever the id changes from one row to the next (file, row order).
+
+    ``extra`` names further columns to keep.
+    """
     marked = halo_windows(
         rows,
         {"_new": lambda w: (~F.col(id_column).eqNullSafe(F.lag(id_column).over(w))).cast("bigint")},
@@ -230,7 +239,7 @@ def group_runs(
     lined = lined.withColumn("line_id", F.col("_line") - 1).drop("_new", "_line")
     if max_lines is not None:
         lined = lined.where(F.col("line_id") < max_lines)
-    points = _index(lined)
+    points = _index(lined, *extra)
     if downsample > 1:
         points = points.where(F.col("pt_idx") % downsample == 0).withColumn(
             "pt_idx", F.floor(F.col("pt_idx") / downsample).cast("int")
@@ -246,7 +255,10 @@ def _separated(spark: SparkSession, path: str) -> DataFrame:
 def read_trajectories(
     spark: SparkSession, path: str, max_lines: int | None = None, downsample: int = 1
 ) -> DataFrame:
-    """Header, then ``id;hh:mm:ss;x;y;z;``: coordinates over 100, x shifted to start at 0 or above."""
+    """Header, then ``id;hh:mm:ss;x;y;z;``: coordinates over 100, x shifted to start at 0 or above.
+
+    ``t_sec`` is the time of day of each vertex in seconds.
+    """
     rows = _separated(spark, path)
     clock = F.split(F.col("_f")[1], ":")
     seconds = parse_number(clock[0]) * 3600 + parse_number(clock[1]) * 60 + parse_number(clock[2])
@@ -254,22 +266,23 @@ def read_trajectories(
         "file", "row", F.col("_f")[0].alias("id"), seconds.alias("t_sec"),
         *[(parse_number(F.col("_f")[i + 2]) / F.lit(100.0)).alias(c) for i, c in enumerate("xyz")],
     )
-    points = group_runs(parsed, "id", max_lines, downsample)
+    points = group_runs(parsed, "id", max_lines, downsample, ["t_sec"])
     low = F.least(points.agg(F.min("x")).scalar(), F.lit(0.0))
     return points.withColumn("x", F.col("x") - low)
 
 
 def read_clustered(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
-    """Header, then ``id;x;y;f;d;d`` with ids from 1: x and y shifted to 0 or above, z is 0."""
+    """Header, then ``id;x;y;f;d;d``: x and y shifted to 0 or above, z is 0.
+
+    A line ends where the id changes, so an id that comes again begins another line.
+    """
     rows = _separated(spark, path)
     parsed = rows.select(
-        "file", "row", (F.col("_f")[0].cast("bigint") - 1).alias("id"),
+        "file", "row", F.col("_f")[0].cast("bigint").alias("id"),
         parse_number(F.col("_f")[1]).alias("x"), parse_number(F.col("_f")[2]).alias("y"),
         F.lit(0.0).alias("z"),
-    ).withColumn("line_id", F.col("id"))
-    if max_lines is not None:
-        parsed = parsed.where(F.col("line_id") < max_lines)
-    points = _index(parsed)
+    )
+    points = group_runs(parsed, "id", max_lines)
     lows = points.agg(F.struct(*[F.least(F.min(c), F.lit(0.0)).alias(c) for c in "xy"])).scalar()
     return points.withColumn("_l", lows).withColumns(
         {c: F.col(c) - F.col("_l")[c] for c in "xy"}

@@ -66,6 +66,23 @@ def test_obj_options(spark, tmp_path):
     ]
 
 
+def test_near_vertices_of_several_files(spark, tmp_path):
+    for name, x in (("a", 0), ("b", 50)):
+        (tmp_path / f"{name}.obj").write_text(f"v {x} 0 0\nv {x} 0 0.1\nv {x} 0 3\nl 1 2 3\nv {x} 9 9\nl 4\n")
+    got = text.read_obj(spark, str(tmp_path), end_markers=("l",), min_step=1.0)
+    assert sorted((r.file.rsplit("/", 1)[1], r.line_id, r.pt_idx, r.x, r.z) for r in got.collect()) == [
+        (f, *row) for f, x in (("a.obj", 0.0), ("b.obj", 50.0)) for row in [(0, 0, x, 0.0), (0, 1, x, 3.0), (1, 0, x, 9.0)]
+    ]
+
+
+def test_lines_from_an_offset(spark, tmp_path):
+    path = tmp_path / "many.obj"
+    path.write_text("".join(f"v {k} 0 0\nv {k} 1 0\ng\n" for k in range(5)))
+    got = text.read_obj(spark, str(path), offset=2, max_lines=2)
+    assert table(got, *ALL) == [(0, 0, 2, 0, 0), (0, 1, 2, 1, 0), (1, 0, 3, 0, 0), (1, 1, 3, 1, 0)]
+    assert text.read_obj(spark, str(path), offset=9).count() == 0
+
+
 def test_text_lines(spark, tmp_path):
     a = tmp_path / "a.txt"
     a.write_text("2\n2 1\n0 0 0 1 1 1\n5 6 7\n")
@@ -87,10 +104,11 @@ def test_text_lines(spark, tmp_path):
     got = text.read_trajectories(spark, str(d))
     assert [r[:2] for r in table(got, *ALL)] == [(0, 0), (0, 1), (1, 0), (2, 0)]
     assert table(got, *ALL)[0] == (0, 0, 0, 2, 3)
+    assert [r[2] for r in table(got, "line_id", "pt_idx", "t_sec")] == [3601.5, 3602, 0, 0]
     e = tmp_path / "cl.txt"
-    e.write_text("head\n1;-3;-2;0;0;0\n1;1;2;0;0;0\n2;5;5;0;0;0\n")
+    e.write_text("head\n1;-3;-2;0;0;0\n1;1;2;0;0;0\n2;5;5;0;0;0\n1;0;0;0;0;0\n")
     assert table(text.read_clustered(spark, str(e)), *ALL) == [
-        (0, 0, 0, 0, 0), (0, 1, 4, 4, 0), (1, 0, 8, 7, 0)
+        (0, 0, 0, 0, 0), (0, 1, 4, 4, 0), (1, 0, 8, 7, 0), (2, 0, 3, 2, 0)
     ]
     f = tmp_path / "q.txt"
     f.write_text("id=4,n=2,loop=1\n1 2 3\n4 5 6\n#\nid=5,n=1,loop=0\n7 8 9\n#\n")
