@@ -79,8 +79,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run
     """(id, text_key, spans, first_ids): per document the runs that are not the first of their kind.
 
     First occurrences are minima combined before the shuffle; the join that brings them back to all
-    occurrences is a plain equi-join, which adaptive execution splits where one passage is very
-    frequent. A document's spans are no more than its runs.
+    occurrences is a plain equi-join by hash, so all occurrences of one passage meet in one task, which
+    reads them as a stream. A document's spans are no more than its runs.
     """
     found = all_runs(docs, doc_id, text, min_run, min_words, lone_words)
     place = F.struct("id", "text_key", "first")

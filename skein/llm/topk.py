@@ -3,8 +3,8 @@
 All scores of a query are integers in a known range. Each round scores every pair of blocks, counts
 scores in the bins of the query's current range and finds the bin of the k-th score; that bin is the
 next range, until a bin is one score wide. A last pass keeps what reaches the k-th score and breaks
-ties by id. Queries and candidates meet in blocks, so a task holds one block of each at a time, and
-neither side is gathered or broadcast.
+ties by id. Queries and candidates meet in blocks; a task of that join holds a hash table of one copy of
+all blocks of queries and reads blocks of candidates one at a time.
 """
 
 from __future__ import annotations
