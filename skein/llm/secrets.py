@@ -56,7 +56,7 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
             if not any(c.isdigit() for c in t):
                 continue
             upper, lower = any(c.isupper() for c in t), any(c.islower() for c in t)
-            if upper and not lower and t.isalnum() and len(t) <= 32:
+            if upper and not lower and t.isalnum():
                 found.append(("weak_id", *m.span()))
             elif lower and len(t) >= 20 and (upper or t.isalnum()):
                 found.append(("weak_secret", *m.span()))
