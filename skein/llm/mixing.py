@@ -6,7 +6,6 @@ import heapq
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -76,11 +75,16 @@ class Seed:
 
     value: int = 7
 
-    def text(self, doc_id: Column, use: str) -> Column:
-        return F.md5(F.concat(F.lit(f"{self.value}:{use}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    def text(self, use: str, *parts: Column) -> Column:
+        given = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+        return F.md5(F.concat_ws(":", F.lit(str(self.value)), F.lit(use), *given))
 
-    def number(self, doc_id: Column, use: str) -> Column:
-        return F.conv(F.substring(self.text(doc_id, use), 1, 8), 16, 10).cast("long")
+    def number(self, use: str, *parts: Column) -> Column:
+        return F.conv(F.substring(self.text(use, *parts), 1, 8), 16, 10).cast("long")
+
+
+def shards(words: int, shard_tokens: int, per_shard_at_least: int) -> int:
+    return max(1, -(-words // max(shard_tokens, per_shard_at_least)))
 
 
 def take(
@@ -98,22 +102,24 @@ def take(
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share as many tokens as
     there are. A source's target (``fill``) becomes blocks of ``block_tokens`` tokens by highest
-    quotients among sources. A source lays its documents end to end in seeded order and cuts them
-    into blocks; its quota is whole passes over all of them and a seeded choice of blocks for the
-    rest, never more than 3 passes. Shards are ranges of that order, each laid from the end of those
-    before it, so ``shard_tokens`` changes nothing but the tasks; a hot source has more shards, not
-    larger ones.
+    quotients among sources. A source of more than ``shard_tokens`` tokens is dealt to shards by seeded
+    draws from id and size, and its blocks are apportioned among them by highest quotients of their
+    sizes, so each shard has an integer quota. A shard lays its documents end to end in seeded order
+    and cuts them into blocks; its quota is whole passes over all of them and a seeded choice of blocks
+    for the rest, never more than 3 passes. A hot source has more shards, not larger ones; rows of one
+    id, or of none, are spread by their sizes.
 
     Adds, under ``names``: the source's size and target, the tokens taken of the document (repeats
     counted), the passes over all its words, and the runs of words (first, last exclusive) taken once
     more. Documents without words are taken 0 times. Repeated rows are documents of their own; rows
-    that agree in id and size may swap what is taken of them. Nothing but the sizes of sources and
+    that agree in id and size may swap what is taken of them. An empty table gives an empty one. Nothing but the sizes of sources and
     shards passes through the driver, at most ``MAX_SOURCES`` + ``MAX_SHARDS`` rows. ``docs`` is read three
     times. Other columns pass through.
     """
     spark = docs.sparkSession
-    src, n_shards, quota, shard_src, held_shard, shard, before, start, epochs, rest, total = fresh(
-        docs.select("*", *[F.lit(0).alias(x) for x in names]), "src", "n_shards", "quota", "shard_src", "held_shard", "shard", "shard_before", "start", "passes", "rest", "total_blocks"
+    src, n_shards, shard_src, held_shard, shard, held, quota, start, epochs, rest, total = fresh(
+        docs.select("*", *[F.lit(0).alias(x) for x in names]),
+        "src", "n_shards", "shard_src", "held_shard", "shard", "shard_size", "quota", "start", "passes", "rest", "total_blocks",
     )
     found = docs.groupBy(quoted(source).alias("s")).agg(F.sum(size).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -122,32 +128,34 @@ def take(
     sizes = [r.n or 0 for r in found]
     targets = fill(sizes, [weights[i % len(weights)] for i in range(len(found))])
     seats = apportion(targets, math.floor(sum(sizes) / block_tokens + 0.5))
-    per_shard = max(shard_tokens, -(-sum(sizes) // MAX_SHARDS))
+    least = -(-sum(sizes) // MAX_SHARDS)
     kinds = spark.createDataFrame(
-        [(r.s, s, t, min(b * block_tokens, s * MAX_EPOCHS), max(1, -(-s // per_shard))) for r, s, t, b in zip(found, sizes, targets, seats)],
-        "s string, n bigint, t double, q bigint, shards bigint",
-    ).select(F.col("s").alias(src), F.col("n").alias(names[0]), F.col("t").alias(names[1]), F.col("q").alias(quota), F.col("shards").alias(n_shards))
+        [(r.s, s, t, shards(s, shard_tokens, least)) for r, s, t in zip(found, sizes, targets)],
+        "s string, n bigint, t double, shards bigint",
+    ).select(F.col("s").alias(src), F.col("n").alias(names[0]), F.col("t").alias(names[1]), F.col("shards").alias(n_shards))
     # the first 32 bits of the text that the order goes by, so shards are ranges of the order
+    drawn = ("order", quoted(doc_id), F.col(size))
     dealt = docs.join(F.broadcast(kinds), quoted(source).eqNullSafe(F.col(src)), "left").withColumn(
-        shard, F.shiftright(seed.number(quoted(doc_id), "order") * F.col(n_shards), 32)
+        shard, F.shiftright(seed.number(*drawn) * F.col(n_shards), 32)
     )
 
-    held: dict = {}
+    sized: dict = {}
     for r in dealt.groupBy(quoted(source).alias("s"), F.col(shard).alias("k")).agg(F.sum(size).alias("n")).collect():
-        held.setdefault(r.s, []).append((r.k, r.n or 0))
+        sized.setdefault(r.s, []).append((r.k, r.n or 0))
     rows = []
-    for s, mine in held.items():
-        mine.sort()
-        rows += [(s, k, end - m) for (k, m), end in zip(mine, accumulate(m for _, m in mine))]
-    offsets = spark.createDataFrame(rows, "s string, k bigint, before bigint").select(
-        F.col("s").alias(shard_src), F.col("k").alias(held_shard), F.col("before").alias(before)
+    for r, blocks in zip(found, seats):
+        mine = sorted(sized.get(r.s, []))
+        for (k, n), b in zip(mine, apportion([n for _, n in mine], blocks)):
+            rows.append((r.s, k, n, min(b * block_tokens, n * MAX_EPOCHS)))
+    quotas = spark.createDataFrame(rows, "s string, k bigint, n bigint, q bigint").select(
+        F.col("s").alias(shard_src), F.col("k").alias(held_shard), F.col("n").alias(held), F.col("q").alias(quota)
     )
-    dealt = dealt.join(F.broadcast(offsets), F.col(src).eqNullSafe(F.col(shard_src)) & (F.col(shard) == F.col(held_shard)), "left")
+    dealt = dealt.join(F.broadcast(quotas), F.col(src).eqNullSafe(F.col(shard_src)) & (F.col(shard) == F.col(held_shard)), "left")
 
-    tokens = F.col(names[0])
-    w = Window.partitionBy(src, shard).orderBy(seed.text(quoted(doc_id), "order"), quoted(doc_id), F.col(size))
+    tokens = F.col(held)
+    w = Window.partitionBy(src, shard).orderBy(seed.text(*drawn), quoted(doc_id), F.col(size))
     laid = (
-        dealt.withColumn(start, F.col(before) + F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
+        dealt.withColumn(start, F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
         .withColumn(epochs, F.when(tokens > 0, F.floor(F.col(quota) / F.greatest(tokens, F.lit(1)))).otherwise(0).cast("long"))
         .withColumn(rest, F.floor((F.col(quota) - F.col(epochs) * tokens) / block_tokens + 0.5).cast("long"))
         .withColumn(total, F.ceil(tokens / block_tokens).cast("long"))

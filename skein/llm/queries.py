@@ -33,8 +33,8 @@ def op1(spark, sf_dir):
     )
 
 
-def mixing_sql() -> str:
-    """Targets by filling sources in the order in which they reach their limit, seats by quotients."""
+def mixing_sql(shard_tokens: int = mixing.SHARD_TOKENS) -> str:
+    """Targets by filling sources in the order in which they reach their limit, seats of sources and shards by quotients."""
     b, m = mixing.BLOCK_TOKENS, mixing.MAX_EPOCHS
     weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
     seed = mixing.Seed().value
@@ -53,11 +53,22 @@ q AS (SELECT source, target / (2 * k + 1)::DOUBLE AS quotient, rank FROM t, unne
   WHERE (2 * k - 1) * {b} < 2 * target + 4 * {b}),
 g AS (SELECT source FROM q ORDER BY quotient DESC, rank LIMIT (SELECT floor(total / {b}.0 + 0.5)::BIGINT FROM c)),
 h AS (SELECT source, count(*) AS seats FROM g GROUP BY source),
-v AS (SELECT t.source, n, target, least(coalesce(seats, 0) * {b}, {m} * n)::BIGINT AS quota
+v AS (SELECT t.source, rank, n, target, coalesce(seats, 0) AS seats,
+    greatest(1, ceil(n / greatest({shard_tokens}, ceil((SELECT total FROM c) / {mixing.MAX_SHARDS}))))::BIGINT AS shards
   FROM t LEFT JOIN h ON t.source IS NOT DISTINCT FROM h.source),
-p AS (SELECT d.doc_id, d.size, n, target, quota // greatest(n, 1) AS epochs, n AS tokens, quota,
-    sum(size) OVER (PARTITION BY d.source ORDER BY md5('{seed}:order:' || d.doc_id), d.doc_id ROWS UNBOUNDED PRECEDING) - size AS start
+e AS (SELECT d.*, rank, v.n, target, shards, md5('{seed}:order:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.size) AS draw
   FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+i AS (SELECT *, (('0x' || draw[:8])::BIGINT * shards) >> 32 AS shard FROM e),
+j AS (SELECT rank, shard, sum(size)::BIGINT AS held FROM i GROUP BY ALL),
+x AS (SELECT j.*, seats, sum(held) OVER (PARTITION BY j.rank) AS whole, count(*) OVER (PARTITION BY j.rank) AS parts FROM j JOIN v ON j.rank = v.rank),
+y AS (SELECT rank, shard, seats, held / (2 * k + 1)::DOUBLE AS quotient
+  FROM x, unnest(range(CASE WHEN held > 0 THEN seats ELSE 0 END)) AS u(k) WHERE (2 * k - 1) * whole < 2 * held * (seats + parts + 2)),
+z AS (SELECT rank, shard FROM y QUALIFY row_number() OVER (PARTITION BY rank ORDER BY quotient DESC, shard) <= seats),
+l AS (SELECT j.*, least(count(z.rank) * {b}, {m} * held)::BIGINT AS quota
+  FROM j LEFT JOIN z ON j.rank = z.rank AND j.shard = z.shard GROUP BY j.rank, j.shard, j.held),
+p AS (SELECT i.doc_id, i.size, n, target, quota // greatest(held, 1) AS epochs, held AS tokens, quota,
+    sum(size) OVER (PARTITION BY i.rank, i.shard ORDER BY draw, i.doc_id, i.size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM i JOIN l ON i.rank = l.rank AND i.shard = l.shard),
 r AS (SELECT *, floor((quota - epochs * tokens) / {b}.0 + 0.5)::BIGINT AS rest, ((tokens + {b - 1}) // {b})::BIGINT AS blocks FROM p)
 SELECT doc_id, size, n AS source_size, target, (epochs * size + CASE WHEN size = 0 THEN 0 ELSE
   coalesce(list_sum(list_transform(list_filter(range((start // {b})::BIGINT, ((start + size - 1) // {b})::BIGINT + 1), lambda i: (i * {mixing._STRIDE}) % blocks < rest),
