@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,6 +25,7 @@ TANGENT_GATE = 0.98       # smallest |cosine| of an accepted pair of tangents
 CENTROID_GATE = 1.5       # largest squared distance of an accepted centroid
 SEEDING_GATE = 1.0
 BUCKET = ["table_id", "fp1", "fp2"]
+ADJACENT = 20             # links of an occupied bucket
 BLOCK = 64               # vertices of a segment that are held in one array
 
 P = Vec3.of()
@@ -359,6 +361,30 @@ def _near_buckets(asked: DataFrame, held: DataFrame, codes: Sequence[str], m: in
     return asked.join(held, cells).withColumn("gap", gaps).where(F.col("gap") <= m).drop(*cells)
 
 
+def _coded(functions: Sequence[HashFunction], df: DataFrame, v: Vec3, names: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: f(v) for c, f in zip(names, functions)})
+
+
+def _nearest_probed(
+    asked: DataFrame, matches: DataFrame, filed: DataFrame, codes: Sequence[str], key: Sequence[str], own: str | None
+) -> DataFrame:
+    """Nearest segment per line in the buckets that ``matches`` gives to the bucket of each asked point."""
+    q = [f"q{c}" for c in codes]
+    probes = salted_join(asked, matches, q, spread=key).drop(*q)
+    targets = filed.select(
+        F.col("line_id").alias("nbr_line"), "beg", "end_", *C.named("nx", "ny", "nz"), *codes
+    )
+    pairs = salted_join(probes, targets, codes, spread=key)
+    if own:
+        pairs = pairs.where(F.col(own) != F.col("nbr_line"))
+    d2 = P.sq_dist(Vec3.of("nx", "ny", "nz"))
+    return (
+        pairs.groupBy(*key, "nbr_line", "reach")
+        .agg(F.min(F.struct(d2.alias("d2"), "beg", "end_")).alias("m"))
+        .select(*key, "nbr_line", "reach", "m.beg", "m.end_", F.sqrt("m.d2").alias("dist"))
+    )
+
+
 def multi_probe(
     functions: Sequence[HashFunction],
     points: DataFrame,
@@ -380,12 +406,9 @@ def multi_probe(
     q = [f"q{c}" for c in codes]
     limit = max_reach if max_reach is not None else max(f.n_buckets for f in functions)
 
-    def coded(df: DataFrame, v: Vec3, names: Sequence[str]) -> DataFrame:
-        return df.withColumns({c: f(v) for c, f in zip(names, functions)})
-
-    filed = coded(segments, C, codes)
+    filed = _coded(functions, segments, C, codes)
     held = reliable(filed.select(*codes, "line_id").distinct())
-    asked = coded(points.select(*key, "x", "y", "z"), P, q)
+    asked = _coded(functions, points.select(*key, "x", "y", "z"), P, q)
     todo = reliable(asked.select(*q).distinct())
     enough = k + 1 if own else k
     upto = Window.partitionBy(*q).orderBy("gap")
@@ -405,19 +428,126 @@ def multi_probe(
         if todo.isEmpty():
             break
         m = min(2 * m, limit)
-    probes = salted_join(asked, matches, q, spread=key).drop(*q)
-    targets = filed.select(
-        F.col("line_id").alias("nbr_line"), "beg", "end_", *C.named("nx", "ny", "nz"), *codes
-    )
-    pairs = salted_join(probes, targets, codes, spread=key)
-    if own:
-        pairs = pairs.where(F.col(own) != F.col("nbr_line"))
-    d2 = P.sq_dist(Vec3.of("nx", "ny", "nz"))
-    return (
-        pairs.groupBy(*key, "nbr_line", "reach")
-        .agg(F.min(F.struct(d2.alias("d2"), "beg", "end_")).alias("m"))
-        .select(*key, "nbr_line", "reach", "m.beg", "m.end_", F.sqrt("m.d2").alias("dist"))
-    )
+    return _nearest_probed(asked, matches, filed, codes, key, own)
+
+
+def _beside(buckets: DataFrame, codes: Sequence[str], functions: Sequence[HashFunction]) -> list[DataFrame]:
+    """Per function, each code with the occupied codes before and after it (NULL at the ends).
+
+    A table has a row per code, so it is as long as the function has buckets, whatever the data.
+    """
+    out = []
+    for c, f in zip(codes, functions):
+        grid = buckets.sparkSession.range(f.n_buckets).select(F.col("id").cast("int").alias(c))
+        used = buckets.select(c).distinct().withColumn("_u", F.col(c))
+        w = Window.partitionBy(F.lit(0)).orderBy(c)
+        out.append(grid.join(used, c, "left").select(
+            c,
+            F.last("_u", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_p{c}"),
+            F.first("_u", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(f"_n{c}"),
+        ))
+    return out
+
+
+def bucket_graph(functions: Sequence[HashFunction], buckets: DataFrame, codes: Sequence[str], width: int = ADJACENT) -> DataFrame:
+    """Links of each occupied bucket (codes named q...) to its best ``width`` adjacent ones.
+
+    Buckets are adjacent if some function gives them neighbouring occupied codes; more such functions
+    are better, ties go by codes. Buckets meet on the codes of a set of functions. Of those that share
+    such a set of codes only the first ``width`` in code order can be among the best ones: whatever
+    comes before in that order agrees in the same functions at least. So lists are cut before the
+    join, and work grows with the buckets, not with the pairs of a slab.
+    """
+    q = [f"q{c}" for c in codes]
+    beside = _beside(buckets, codes, functions)
+    sets = [[c for i, c in enumerate(codes) if s >> i & 1] for s in range(1, 1 << len(codes))]
+
+    def at(chosen: Sequence[str], value) -> Column:
+        return F.array(*[value(c).cast("int") if c in chosen else F.lit(-1) for c in codes])
+
+    listed = buckets.select(*codes, F.explode(F.array(*[at(s, F.col) for s in sets])).alias("_at"))
+    first = Window.partitionBy("_at").orderBy(*codes)
+    listed = listed.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= width).drop("_i")
+    asked = buckets
+    for c, table in zip(codes, beside):
+        asked = asked.join(F.broadcast(table), c)
+    sides = {c: (F.col(f"_p{c}"), F.col(f"_n{c}")) for c in codes}
+    wanted = [at(s, dict(zip(s, picked)).get) for s in sets for picked in product(*[sides[c] for c in s])]
+    ends = F.array(*[F.array(*sides[c]) for c in codes])
+    asked = asked.select(*[F.col(c).alias(f"q{c}") for c in codes], ends.alias("_ends"), F.explode(F.array(*wanted)).alias("_at"))
+    asked = asked.where(~F.exists("_at", lambda x: x.isNull()))
+    common = sum(F.coalesce(F.array_contains(F.col("_ends")[i], F.col(c)), F.lit(False)).cast("int") for i, c in enumerate(codes))
+    best = Window.partitionBy(*q).orderBy(F.desc("common"), *codes)
+    pairs = asked.join(listed, "_at").select(*q, *codes, common.alias("common")).distinct()
+    return pairs.withColumn("_i", F.row_number().over(best)).where(F.col("_i") <= width).drop("_i")
+
+
+def occupied_probe(
+    functions: Sequence[HashFunction],
+    points: DataFrame,
+    segments: DataFrame,
+    k: int,
+    width: int = ADJACENT,
+    max_steps: int | None = None,
+    key: Sequence[str] = QUERY_KEY,
+    own: str | None = "line_id",
+) -> DataFrame:
+    """Nearest segment per line from occupied buckets, walked breadth-first until ``k`` lines are met.
+
+    A walk starts in the bucket of the point, or if that holds no segment in those that have the next
+    or previous occupied code of some function, and follows ``bucket_graph`` step by step; buckets of
+    one step come by the sum of their code differences, then by codes. Walks belong to buckets that
+    hold points, not to points. They end in the bucket where ``k`` other lines are met (all its
+    segments count), where no bucket is left to go to, or after ``max_steps``; ``reach`` is the step
+    of the last bucket. To see whether ``k`` lines are met, ``k`` + 1 lines of each bucket are enough.
+    An empty table gives an empty one.
+    """
+    codes = [f"_h{i}" for i in range(len(functions))]
+    q = [f"q{c}" for c in codes]
+    enough = k + 1 if own else k
+    filed = _coded(functions, segments, C, codes)
+    members = filed.select(*codes, "line_id").distinct()
+    lines = members.withColumn("_i", F.row_number().over(Window.partitionBy(*codes).orderBy("line_id")))
+    lines = reliable(lines.where(F.col("_i") <= enough).drop("_i"))
+    buckets = reliable(lines.select(*codes).distinct())
+    links = reliable(bucket_graph(functions, buckets, codes, width).drop("common"))
+    asked = _coded(functions, points.select(*key, "x", "y", "z"), P, q)
+    starts = reliable(asked.select(*q).distinct())
+
+    same = starts.join(buckets.select("*", *[F.col(c).alias(f"q{c}") for c in codes]), q)
+    lost = starts.join(buckets.select(*[F.col(c).alias(f"q{c}") for c in codes]), q, "left_anti")
+    for c, table in zip(codes, _beside(buckets, codes, functions)):
+        lost = lost.join(F.broadcast(table.withColumnRenamed(c, f"q{c}")), f"q{c}")
+    near = [
+        lost.select(*q, F.explode(F.array(f"_p{c}", f"_n{c}")).alias(c)).join(buckets, c).select(*q, *codes)
+        for c in codes
+    ]
+    front = same.select(*q, *codes)
+    for n in near:
+        front = front.unionByName(n)
+    onward = links.toDF(*codes, *[f"n{c}" for c in codes])
+    front = reliable(front.distinct())
+    seen, met, step = front.withColumn("reach", F.lit(0)), None, 0
+    while step != max_steps:
+        found = front.join(lines, codes).select(*q, "line_id")
+        met = reliable((found if met is None else met.unionByName(found)).distinct())
+        done = met.groupBy(*q).count().where(F.col("count") >= enough)
+        ahead = front.join(done, q, "left_anti").join(onward, codes)
+        ahead = ahead.select(*q, *[F.col(f"n{c}").alias(c) for c in codes]).distinct()
+        front = reliable(ahead.join(seen, [*q, *codes], "left_anti"))
+        if front.isEmpty():
+            break
+        step += 1
+        seen = seen.unionByName(front.withColumn("reach", F.lit(step)))
+    gap = sum(F.abs(F.col(c) - F.col(f"q{c}")) for c in codes)
+    seen = reliable(seen.withColumn("_at", F.struct("reach", gap.alias("gap"), *codes)))
+    firsts = seen.join(lines, codes).groupBy(*q, "line_id").agg(F.min("_at").alias("_stop"))
+    nth = F.row_number().over(Window.partitionBy(*q).orderBy("_stop"))
+    stops = firsts.withColumn("_i", nth).where(F.col("_i") == enough).select(*q, "_stop")
+    walked = seen.join(stops, q, "left").where(F.col("_stop").isNull() | (F.col("_at") <= F.col("_stop")))
+    steps = walked.groupBy(*q).agg(F.max("reach").alias("reach"))
+    matches = reliable(walked.select(*q, *codes).join(steps, q))
+    return _nearest_probed(asked, matches, filed, codes, key, own)
 
 
 def probe_vertices(
