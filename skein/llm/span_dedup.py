@@ -10,15 +10,19 @@ stays, and sentences under any later one go.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.llm.common import fresh, quoted, small_batches
+from skein.session import ensure_checkpoint_dir, reliable
 
 MIN_RUN, MIN_WORDS, LONE_WORDS = 2, 15, 50
+#: Hashes of more than this share of all runs, and of more than HOT_ROWS of them, are joined without a shuffle.
+FREQUENT, HOT_ROWS = 1 << 14, 1 << 14
 _NO_ID = (1 << 63) - 1
 #: A sentence ends with its marks and the space after them, or with its line.
 _END = re.compile(r"[.!?]+\s+|\n\s*")
@@ -75,29 +79,46 @@ def all_runs(docs: DataFrame, doc_id: str, text: str, min_run: int, min_words: i
     return rows.mapInArrow(run, "id bigint, text_key bigint, a bigint, b bigint, first int, last int")
 
 
+def frequent(found: DataFrame, rows: int) -> DataFrame:
+    """(a): first halves of hashes that may hold more than 1/FREQUENT of all rows; at most FREQUENT of them.
+
+    From a sketch of FREQUENT * 16 counters, whose error is a fourth of that share: what is more frequent is
+    never missing. A rare one among them does no harm, since the list decides only where rows meet.
+    """
+    if rows <= FREQUENT:  # no task could be given too much
+        return found.select("a").limit(0)
+    top = found.agg(F.expr(f"approx_top_k(a, {FREQUENT}, {FREQUENT * 16})").alias("top"))
+    return top.select(F.explode("top").alias("top")).where(F.col("top")["count"] > max(HOT_ROWS, rows // FREQUENT)).select(F.col("top")["item"].alias("a"))
+
+
+def later_ones(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of ``found`` that are not the first of their hash, with the ``origin`` that is.
+
+    Rows of ordinary hashes are shuffled once and see their first in a window, which spills. Rows of frequent
+    hashes stay where they are: their first, a minimum combined before the shuffle, is sent to all tasks, as
+    there are at most FREQUENT of them (times the hashes that agree in their first 64 bits).
+    """
+    place = F.struct("id", "text_key", "first")
+    own = Window.partitionBy("a", "b")
+    cold = found.join(F.broadcast(hot), "a", "left_anti").withColumn("origin", F.min(place).over(own))
+    often = found.join(F.broadcast(hot), "a", "left_semi")
+    first = often.groupBy("a", "b").agg(F.min(place).alias("origin"))
+    return cold.unionByName(often.join(F.broadcast(first), ["a", "b"])).where(F.col("origin") != place)
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
     """(id, text_key, spans, first_ids): per document the runs that are not the first of their kind.
 
-    First occurrences are minima combined before the shuffle; the join that brings them back to all
-    occurrences is a plain equi-join by hash, so all occurrences of one passage meet in one task, which
-    reads them as a stream. A document's spans are no more than its runs.
+    Texts are cut once; their runs are written to the checkpoint folder as Parquet, where their hashes can
+    be counted without the rest. A document's spans are no more than its runs.
     """
-    found = all_runs(docs, doc_id, text, min_run, min_words, lone_words)
-    place = F.struct("id", "text_key", "first")
-    first = (
-        found.groupBy("a", "b")
-        .agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-        .select("a", "b", "origin")
-    )
-    return (
-        found.join(first, ["a", "b"])
-        .where(F.col("origin") != place)
-        .groupBy("id", "text_key")
-        .agg(
-            F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"),
-            F.array_sort(F.collect_set(F.col("origin")["id"])).alias("first_ids"),
-        )
+    spark = docs.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spans-{uuid.uuid4().hex}"
+    all_runs(docs, doc_id, text, min_run, min_words, lone_words).write.parquet(path)
+    found = spark.read.parquet(path)
+    return later_ones(found, reliable(frequent(found, found.count()))).groupBy("id", "text_key").agg(
+        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"),
+        F.array_sort(F.collect_set(F.col("origin")["id"])).alias("first_ids"),
     )
 
 
@@ -115,7 +136,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
 
     Earlier is by ``doc_id`` (null last), then the hash of the text, then position. Rows that agree
     in id and text are one document and come back alike, so a repeated row loses nothing to its
-    twin. Null texts stay null; a text may become empty. Adds the number of sentences removed and
+    twin. Null texts stay null; a text may become empty; an empty table gives an empty one. Adds the number of sentences removed and
     the ids of the documents that keep them. Other columns pass through.
     """
     i, k, spans, cut = fresh(docs, "span_id", "span_text", "span_list", "span_cut")

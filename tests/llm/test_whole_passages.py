@@ -63,3 +63,24 @@ def test_runs_cover_every_run_that_is_long_enough():
                 assert long or (i, j) not in found
                 if long:
                     assert set(range(i, j)) == {k for a, b in found if i <= a and b <= j for k in range(a, b)}
+
+
+def test_frequent_passages_go_like_rare_ones(spark, monkeypatch):
+    """Hashes of many rows are told from others, and lose the same occurrences without a shuffle of their rows."""
+    monkeypatch.setattr(span_dedup, "FREQUENT", 8)
+    monkeypatch.setattr(span_dedup, "HOT_ROWS", 20)
+    common = "This passage stands in each and every one of these many documents. It has two sentences of words. "
+    rows = [(i, f"Own {i} words come here. {common}And {'x' * (i % 7)} more of {i}. " + (f"{common}Last {i}." if i % 5 == 0 else "")) for i in range(60)]
+    rows.append((None, common))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = span_dedup.all_runs(df, "doc_id", "text", 2, 15, 50)
+    hot = span_dedup.frequent(found, found.count())
+    counts = {r.a: r["count"] for r in found.groupBy("a").count().collect()}
+    most = max(20, sum(counts.values()) // 8)
+    assert {a for a, n in counts.items() if n > most} <= {r.a for r in hot.collect()} and hot.count() > 0
+    plain = span_dedup.later_ones(found, hot.limit(0))
+    key = ["id", "first", "last", "origin"]
+    assert sorted(map(str, span_dedup.later_ones(found, hot).select(key).collect())) == sorted(map(str, plain.select(key).collect()))
+    got = {r.doc_id: r.text for r in span_dedup.drop_repeats(df).collect()}
+    assert [i for i, t in got.items() if common.strip() in (t or "")] == [0] and got[0].count(common.strip()) == 1
+    assert all(f"Own {i} words" in got[i] for i in range(60))
