@@ -3,8 +3,8 @@
 All scores of a query are integers in a known range. Each round scores every pair of blocks, counts
 scores in the bins of the query's current range and finds the bin of the k-th score; that bin is the
 next range, until a bin is one score wide. A last pass keeps what reaches the k-th score and breaks
-ties by id. Queries and candidates meet in blocks; a task of that join holds a hash table of one copy of
-all blocks of queries and reads blocks of candidates one at a time.
+ties by id. Queries and candidates meet in blocks; a task of that join holds a bounded group of blocks of
+queries, which can spill, and reads blocks of candidates one at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from skein.session import reliable
 
 K, BINS = 5, 1024
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
+QUERY_BLOCKS = 16  # of queries that meet candidates together
 _LOW = -(1 << 62)
 
 
@@ -71,13 +72,19 @@ def scores(candidates: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.array([[min(max(x, -(2**63)), 2**63 - 1) for x in row] for row in found], np.int64).reshape(len(candidates), len(queries))
 
 
-def _meet(candidates: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
-    """Each block of queries with each block of candidates; queries are copied once for each group."""
-    copies = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    right = candidates.select(
-        F.pmod("block", F.lit(groups)).cast("int").alias("group"), F.col("ids").alias("c_ids"), F.col("width").alias("c_width"), F.col("values").alias("c_values")
+def _meet(candidates: DataFrame, queries: DataFrame, groups: int, asked: int) -> DataFrame:
+    """Each block of queries with each block of candidates, by merge join on (group of candidates, group of queries).
+
+    A group of queries is QUERY_BLOCKS blocks on average; a task holds the query blocks of one key at a time, and
+    spills them where they are too many. Queries are copied once for each group of candidates, and the other way round.
+    """
+    sides = max(1, -(-asked // QUERY_BLOCKS))
+    left = candidates.select(
+        F.pmod("block", F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"),
+        F.col("ids").alias("c_ids"), F.col("width").alias("c_width"), F.col("values").alias("c_values"),
     )
-    return right.join(copies.hint("shuffle_hash"), "group")
+    right = queries.select("*", F.pmod("block", F.lit(sides)).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    return left.join(right.hint("merge"), ["group", "side"])
 
 
 def _histogram(pairs: DataFrame, k: int, bins: int) -> DataFrame:
@@ -134,7 +141,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_
     ``vector`` holds whole numbers as doubles. Ties go to the smaller id. A query with fewer than k
     candidates gets them all. Rows of a null id or vector take no part; rows with the query's id are
     its own and no candidates, of several only one is asked (the smallest vector). Vectors of other
-    lengths count as ending in zeros. Other columns are not read.
+    lengths count as ending in zeros. Other columns are not read. An empty table gives an empty one.
     """
     rows = vectors.where(quoted(vec_id).isNotNull() & quoted(vector).isNotNull()).select(
         quoted(vec_id).cast("long").alias("id"), quoted(vector).alias("vec"), is_query.alias("asked")
@@ -145,6 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_
     held = reliable(_pack(rows.drop("asked"), f"pmod(xxhash64(id, 1), {blocks})"))
     wide = rows.where("asked").groupBy("id").agg(F.min("vec").alias("vec"))
     wanted = reliable(_pack(wide, f"pmod(xxhash64(id, 2), {max(1, -(-asked // query_rows))})"))
+    asked_blocks = max(1, -(-asked // query_rows))
     groups = min(blocks, max(1, 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     longest = held.agg(F.max("norm")).first()[0] or 0.0
 
@@ -159,7 +167,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_
 
     state = reliable(wanted.mapInArrow(start, "query bigint, low bigint, span bigint, need bigint"))
     while True:
-        pairs = _meet(held, _with_state(wanted, state, query_rows), groups)
+        pairs = _meet(held, _with_state(wanted, state, query_rows), groups, asked_blocks)
         down = Window.partitionBy("query").orderBy(F.desc("bin"))
         hit = (
             _histogram(pairs, k, bins)
@@ -179,7 +187,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_
         ))
         if state.where("need > 0").isEmpty():
             break
-    best = _finish(_meet(held, _with_state(wanted, state, query_rows), groups), k)
+    best = _finish(_meet(held, _with_state(wanted, state, query_rows), groups, asked_blocks), k)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score"

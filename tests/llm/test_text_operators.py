@@ -325,7 +325,8 @@ def brute_top(rows, k):
 
 
 @pytest.mark.parametrize("bins", [2, 64, 1024])
-def test_top_k_with_ties_and_blocks(spark, bins):
+def test_top_k_with_ties_and_blocks(spark, monkeypatch, bins):
+    monkeypatch.setattr(topk, "QUERY_BLOCKS", 2)
     rng = random.Random(6)
     rows = [(i, [float(rng.randint(-3, 3)) for _ in range(rng.choice([2, 3]))]) for i in range(300)] + [(i, [1.0, 1.0]) for i in range(300, 420)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
