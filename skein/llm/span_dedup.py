@@ -9,6 +9,7 @@ stays, and sentences under any later one go.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from skein.session import ensure_checkpoint_dir, reliable
 
 MIN_RUN, MIN_WORDS, LONE_WORDS = 2, 15, 50
 #: Hashes of more than this share of all runs, and of more than HOT_ROWS of them, are joined without a shuffle.
-FREQUENT, HOT_ROWS = 1 << 14, 1 << 14
+FREQUENT, HOT_ROWS = 1 << 12, 1 << 14
 _NO_ID = (1 << 63) - 1
 #: A sentence ends with its marks and the space after them, or with its line.
 _END = re.compile(r"[.!?]+\s+|\n\s*")
@@ -83,11 +84,17 @@ def frequent(found: DataFrame, rows: int) -> DataFrame:
     """(a): first halves of hashes that may hold more than 1/FREQUENT of all rows; at most FREQUENT of them.
 
     From a sketch of FREQUENT * 16 counters, whose error is a fourth of that share: what is more frequent is
-    never missing. A rare one among them does no harm, since the list decides only where rows meet.
+    never missing. A rare one among them does no harm, since the list decides only where rows meet. Sketches
+    (1 MB at most) are merged in two steps, so that no task reads those of all tasks.
     """
     if rows <= FREQUENT:  # no task could be given too much
         return found.select("a").limit(0)
-    top = found.agg(F.expr(f"approx_top_k(a, {FREQUENT}, {FREQUENT * 16})").alias("top"))
+    teams = math.isqrt(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    size = FREQUENT * 16
+    teamed = found.select("a", F.spark_partition_id().alias("part")).select("a", F.pmod("part", F.lit(teams)).alias("team"))
+    sketches = teamed.groupBy("team").agg(F.expr(f"approx_top_k_accumulate(a, {size})").alias("sketch"))
+    whole = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {size})").alias("sketch"))
+    top = whole.select(F.expr(f"approx_top_k_estimate(sketch, {FREQUENT})").alias("top"))
     return top.select(F.explode("top").alias("top")).where(F.col("top")["count"] > max(HOT_ROWS, rows // FREQUENT)).select(F.col("top")["item"].alias("a"))
 
 
