@@ -85,7 +85,8 @@ def frequent(found: DataFrame, rows: int) -> DataFrame:
 
     From a sketch of FREQUENT * 16 counters, whose error is a fourth of that share: what is more frequent is
     never missing. A rare one among them does no harm, since the list decides only where rows meet. Sketches
-    (1 MB at most) are merged in two steps, so that no task reads those of all tasks.
+    (1 MB at most) are merged in two steps, so that no task reads those of all tasks. The second step has a
+    constant key: without keys, a task without sketches would have to write one of no type, and fails.
     """
     if rows <= FREQUENT:  # no task could be given too much
         return found.select("a").limit(0)
@@ -93,7 +94,7 @@ def frequent(found: DataFrame, rows: int) -> DataFrame:
     size = FREQUENT * 16
     teamed = found.select("a", F.spark_partition_id().alias("part")).select("a", F.pmod("part", F.lit(teams)).alias("team"))
     sketches = teamed.groupBy("team").agg(F.expr(f"approx_top_k_accumulate(a, {size})").alias("sketch"))
-    whole = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {size})").alias("sketch"))
+    whole = sketches.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {size})").alias("sketch"))
     top = whole.select(F.expr(f"approx_top_k_estimate(sketch, {FREQUENT})").alias("top"))
     return top.select(F.explode("top").alias("top")).where(F.col("top")["count"] > max(HOT_ROWS, rows // FREQUENT)).select(F.col("top")["item"].alias("a"))
 

@@ -84,3 +84,16 @@ def test_frequent_passages_go_like_rare_ones(spark, monkeypatch):
     got = {r.doc_id: r.text for r in span_dedup.drop_repeats(df).collect()}
     assert [i for i, t in got.items() if common.strip() in (t or "")] == [0] and got[0].count(common.strip()) == 1
     assert all(f"Own {i} words" in got[i] for i in range(60))
+
+
+def test_frequent_hashes_with_partitions_that_hold_no_sketch(spark):
+    """More shuffle partitions than sketches, and none merged: the list is found all the same."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("64", "false")):
+            spark.conf.set(k, v)
+        found = spark.range(0, 60_000, 1, 8).selectExpr("if(id % 3 = 0, -7, id) AS a")
+        assert [r.a for r in span_dedup.frequent(found, found.count()).collect()] == [-7]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
