@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from enum import Enum
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.functions.vec import Vec3
 from skein.operators.geometry import cross_curvature, curvature, line_lengths
-from skein.session import reliable
+from skein.session import BATCH_BYTES, reliable
 from skein.skew import chunked_fold, explode_range, halo_windows, line_running_sums
 
 P = Vec3.of()
@@ -241,18 +242,92 @@ def _costs(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     return np.where(inside, cost, np.inf)
 
 
-def _solve(points: DataFrame, block: int) -> DataFrame:
+SPANS = "line_id bigint, beg int, end_ int"
+COSTS = 1 << 19          # costs of links that one task works out at a time
+
+
+def _solve_whole(rows: DataFrame) -> DataFrame:
+    """The best spans of lines that fit one block each; a task takes many lines at once, and no line comes twice.
+
+    ``rows`` has line_id, pt_idx, the sums and the penalty.
+    """
+    names = ["pt_idx", "sx", "sy", "sz", "q", "penalty"]
+    lines = rows.where(F.col("line_id").isNotNull()).groupBy("line_id").agg(
+        F.array_sort(F.collect_list(F.struct(*names))).alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            line, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            start, held = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+            start, size = start[:-1] - start[0], np.diff(start)
+            flat = {c: held.field(c).to_numpy(zero_copy_only=False) for c in names}
+            order = np.argsort(size, kind="stable")
+            lo = 0
+            while lo < len(order):
+                n = int(size[order[lo]])
+                same = int(np.searchsorted(size[order], n, "right"))
+                some = order[lo : min(same, lo + max(1, COSTS // (n * n)))]
+                at = start[some][:, None] + np.arange(n)[None, :]
+                which, beg, end = _spans_of({c: v[at] for c, v in flat.items()})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(line[some][which], pa.int64()), pa.array(beg, pa.int32()), pa.array(end, pa.int32())],
+                    ["line_id", "beg", "end_"])
+                lo += len(some)
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return lines.mapInArrow(run, SPANS)
+
+
+def _spans_of(v: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, beg, end_) on the best paths of lines of one length, each a row of the arrays of ``v``."""
+    index = v["pt_idx"].astype(np.int64)
+    lines, n = index.shape
+    m = index[:, None, :] - index[:, :, None]
+    inside = m > 0
+    count = np.where(inside, m, 1)
+    dev = (v["q"][:, None, :] - v["q"][:, :, None]) / count
+    for c in ("sx", "sy", "sz"):
+        dev = dev - ((v[c][:, None, :] - v[c][:, :, None]) / count) ** 2
+    cost = np.where(inside, np.maximum(dev, 0.0) + v["penalty"][:, :, None], np.inf)
+    best, prev, every = np.full((lines, n), np.inf), np.full((lines, n), -1), np.arange(lines)
+    best[index[:, 0] == 0, 0] = 0.0
+    for j in range(1, n):
+        c = best[:, :j] + cost[:, :j, j]
+        k = c.argmin(axis=1)
+        least = c[every, k]
+        better = least < best[:, j]
+        best[better, j], prev[better, j] = least[better], k[better]
+    out, live, at = [], every, np.full(lines, n - 1)
+    while len(live):
+        link = prev[live, at]
+        live, at, link = live[link >= 0], at[link >= 0], link[link >= 0]
+        out.append((live, index[live, link], index[live, at]))
+        at = link
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _best_spans(points: DataFrame, block: int) -> DataFrame:
+    """(line_id, beg, end_) of the best cuts: lines that fit one block in a single step, others block by block."""
+    sums = {"sx": F.col("x"), "sy": F.col("y"), "sz": F.col("z"), "q": P.sq()}
+    rows = line_running_sums(points, sums).select("line_id", "pt_idx", "sx", "sy", "sz", "q", "penalty")
+    long = points.where(F.col("pt_idx") >= block).select("line_id").distinct()
+    if long.isEmpty():
+        return _solve_whole(rows)
+    rows = reliable(rows)
+    solved = _solve(rows.join(long, "line_id", "left_semi"), block)
+    return _solve_whole(rows.join(long, "line_id", "left_anti")).unionByName(_trace_back(solved, block))
+
+
+def _solve(rows: DataFrame, block: int) -> DataFrame:
     """Exact dynamic program over cut positions, one block of vertices per line and round.
 
     A round first prices the links from all finished blocks into the next block, one pair of
     blocks per task, and then finishes that block. Lines of up to ``block`` vertices take one
     round; no task sees more than two blocks.
     """
-    sums = {"sx": F.col("x"), "sy": F.col("y"), "sz": F.col("z"), "q": P.sq()}
-    rows = line_running_sums(points, sums).select(
-        "line_id", "pt_idx", "sx", "sy", "sz", "q", "penalty",
-        F.floor(F.col("pt_idx") / F.lit(block)).cast("bigint").alias("blk"),
-    )
+    rows = rows.withColumn("blk", F.floor(F.col("pt_idx") / F.lit(block)).cast("bigint"))
     blocks = rows.agg(F.max("blk")).first()[0] or 0
     if blocks:
         rows = reliable(rows)
@@ -350,8 +425,7 @@ def _trace_back(solved: DataFrame, block: int) -> DataFrame:
 
 def cut_globally(points: DataFrame, penalty: float, block: int = 1 << 10) -> DataFrame:
     """Segments [k, j) minimising the sum of mean squared deviation plus a penalty per segment."""
-    solved = _solve(points.withColumn("penalty", F.lit(float(penalty))), block)
-    return _trace_back(solved, block)
+    return _best_spans(points.withColumn("penalty", F.lit(float(penalty))), block)
 
 
 def cut_globally_by_curvature(
@@ -378,8 +452,8 @@ def cut_globally_by_curvature(
         2,
     )
     c = F.coalesce(F.nullif(F.col("_c2"), F.lit(0.0)), F.lit(1e-6))
-    solved = _solve(curved.withColumn("penalty", F.lit(float(penalty)) / c), block)
-    return _trace_back(solved, block).withColumn("end_", F.col("end_") + 1)
+    spans = _best_spans(curved.withColumn("penalty", F.lit(float(penalty)) / c), block)
+    return spans.withColumn("end_", F.col("end_") + 1)
 
 
 # ------------------------------------------------------------------ segment tables
