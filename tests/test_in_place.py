@@ -109,6 +109,8 @@ def test_places_are_searched_once(spark, monkeypatch):
     points, rows = walks(spark, 5, 12)
     points = points.withColumn("opacity", F.col("x"))
     copies = points.unionByName(points.withColumn("line_id", F.col("line_id") + 100))
+    lost = points.limit(1).withColumn("line_id", F.lit(None).cast("bigint"))
+    assert M.spread_opacity(points.unionByName(lost)).count() == len(rows)  # rows of no line have no row
     asked, search = [], M.nearest_lines
 
     def counted(queries, targets, *args, **more):
